@@ -48,6 +48,6 @@ UNION SELECT edge_id, 'to_symbol' FROM calls WHERE to_file IN (SELECT v FROM res
 SQL = {
     "p1_found": _FOUND,
     "p1_report": f"""
-SELECT CASE ref_field WHEN 'to_file' THEN 'manifest' ELSE 'chunks' END AS missing_in, ref_field, strftime(at, '%Y-%m') AS period, count(*) AS n_orphans
-FROM (SELECT o.edge_id, o.ref_field, min(e.indexed_at) AS at FROM ({_FOUND}) o JOIN edges e ON e.edge_id = o.edge_id GROUP BY ALL) GROUP BY ALL""",
+SELECT CASE ref_field WHEN 'to_file' THEN 'manifest' ELSE 'chunks' END AS missing_in, ref_field, strftime(seen, '%Y-%m') AS period, count(*) AS n_orphans
+FROM (SELECT o.edge_id, o.ref_field, min(e.indexed_at) AS seen FROM ({_FOUND}) o JOIN edges e ON e.edge_id = o.edge_id GROUP BY ALL) GROUP BY ALL""",
 }
