@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import bpe, split
+from strataloom.llm import bpe, neighbors, split
 from strataloom.session import table
 
 
@@ -16,11 +16,15 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_oversized(table(spark, root, "chunks"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbors.neighbor_pairs(table(spark, root, "chunks").select("id", "vector"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_ids": p7_ids}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
