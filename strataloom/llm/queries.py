@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import bpe, neighbors, split
+from strataloom.llm import bpe, neighbors, pack, split
 from strataloom.session import table
 
 
@@ -24,7 +24,11 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_ids": p7_ids}
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return pack.pack_documents(table(spark, root, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
