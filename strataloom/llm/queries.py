@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import bpe, neighbors, pack, split
+from strataloom.llm import bpe, neighbors, pack, split, vendored
 from strataloom.session import table
 
 
@@ -20,6 +20,14 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.neighbor_pairs(table(spark, root, "chunks").select("id", "vector"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_files(spark, root).select("file_path")
+
+
+def p6_files(spark: SparkSession, root: str) -> DataFrame:
+    return vendored.not_hand_written(table(spark, root, "chunks"), table(spark, root, "vendor_releases"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_documents(table(spark, root, "documents"))
 
@@ -28,7 +36,7 @@ def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack.pack_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
