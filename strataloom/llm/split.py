@@ -27,7 +27,7 @@ _RULES = (
     (DECLARATION, re.compile(r"(?:\r\n|\n|\r)(?=(?:export |async |pub |public |private |static )*(?:function|class|def|func|fn|impl|struct|interface|#{1,6} )\b)")),
     (BLANK, re.compile(r"(?:\r\n|\n)[^\S\r\n]*(?:\r\n|\n)")),
 )
-_INSIDE = re.compile(r"\r(?=\n)|.(?=[̀-ͯ‍︎️\U0001f3fb-\U0001f3ff])|‍", re.S)
+_INSIDE = re.compile("\r(?=\n)|.(?=[\u0300-\u036f\u200d\ufe0e\ufe0f\U0001f3fb-\U0001f3ff])|\u200d", re.S)
 _STRETCH = 1 << 16
 
 

@@ -41,7 +41,7 @@ _NOTICE = re.compile(
       | (?:automatically|machine)[- ](?:generated|written|produced)\b | generated\ (?:by|from|with|using|automatically)\ (?:the\ )?\S+ | (?:do\ not\ (?:edit|modify|change)\b.*\b(?:output|generated|produced|built|overwritten|lost)\b)
       | (?:produced|emitted|written|built|created)\ by\ (?:the\ )?\S+\ (?:compiler|generator|tool|codegen|v?\d)  | (?:do\ not\ (?:edit|modify)\W*$) )"""
 )
-_HEAD = re.compile(r"\A﻿?(?:\s*(?:/\*.*?\*/|//[^\n]*|\#[^\n]*|\"\"\".*?\"\"\"|<!--.*?-->|package\s+\w+;?|['\"]use strict['\"];?))+", re.S)
+_HEAD = re.compile(r"\A\ufeff?(?:\s*(?:/\*.*?\*/|//[^\n]*|\#[^\n]*|\"\"\".*?\"\"\"|<!--.*?-->|package\s+\w+;?|['\"]use strict['\"];?))+", re.S)
 _DECLARED = re.compile(r"\b(?:class|struct|impl|interface|enum|type|message|trait)\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*?)(\d+)(\w*)")
 _CONTROL = re.compile(r"\b(?:if|for|while|switch|match|try|loop|await|yield|raise|throw)\b")
 _LITERAL = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?<![\w.])-?(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?)\b")
