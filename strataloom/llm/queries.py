@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, neighbors, pack, split, syntax, vendored
+from strataloom.llm import bpe, credentials, neighbors, pack, split, syntax, vendored
 from strataloom.session import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.find(table(spark, root, "chunks")).select("id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.redact(table(spark, root, "chunks"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return syntax.judge_files(table(spark, root, "chunks")).where(~F.col("valid")).select("file_path").distinct()
 
@@ -49,7 +57,7 @@ def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack.pack_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
