@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from strataloom.session import stage_table
 
-ROWS, COLS = 1024, 2048  # a tile that stays in the cache
+ROWS, COLS = 512, 2048  # a tile that stays in the cache
+SLACK = 1e-5  # of float32 scales and sums
 
 
 def _units(flat: np.ndarray) -> np.ndarray:
@@ -43,18 +44,18 @@ class Codes:
 
 
 class Best:
-    """The ``keep`` best (similarity, class) of each row; equal similarities by smaller class number."""
+    """The ``keep`` best (similarity, class) of each row that reach its bar; equal similarities by smaller class number."""
 
-    def __init__(self, n: int, keep: int):
+    def __init__(self, n: int, keep: int, bar: np.ndarray | None = None):
         self.keep = keep
+        self.bar = np.full(n, -np.inf) if bar is None else bar.copy()
         self.sim = np.full((n, keep), -np.inf)
         self.who = np.full((n, keep), np.iinfo(np.int64).max)
 
-    def floor(self, lo: int, hi: int) -> np.ndarray:
-        return self.sim[lo:hi, -1]
-
     def add(self, rows: np.ndarray, sims: np.ndarray, who: np.ndarray) -> None:
-        """Candidates of any rows, in any order; each row's best and new ones are merged."""
+        """Candidates of any rows, in any order; each row's best and new ones are merged, and its bar is raised."""
+        ok = sims >= self.bar[rows]
+        rows, sims, who = rows[ok], sims[ok], who[ok]
         if not len(rows):
             return
         order = np.lexsort((who, -sims, rows))
@@ -70,58 +71,82 @@ class Best:
         s[at, self.keep + place], w[at, self.keep + place] = sims, who
         o = np.lexsort((w, -s), axis=1)[:, : self.keep]
         self.sim[touched], self.who[touched] = np.take_along_axis(s, o, 1), np.take_along_axis(w, o, 1)
-
-
-def join_blocks(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, keep: int, same: bool) -> tuple[Best, Best]:
-    """Best of block a's rows in block b, and of b's in a (the same object, with each pair seen once, for a block with itself)."""
-    ca = Codes(a)
-    cb = ca if same else Codes(b)
-    best_a = Best(len(a), keep)
-    best_b = best_a if same else Best(len(b), keep)
+        self.bar[touched] = np.maximum(self.bar[touched], self.sim[touched, -1])
+
+
+def _exact(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray):
+    """Similarities of the pairs, a slice at a time."""
+    for s in range(0, len(x), 1 << 18):
+        i, j = x[s : s + (1 << 18)], y[s : s + (1 << 18)]
+        yield i, j, np.round(np.einsum("ij,ij->i", a[i], b[j]), 12)
+
+
+def own_best(a: np.ndarray, ids: np.ndarray, keep: int) -> Best:
+    """Best of each row of a block among the others of the block."""
+    c, best, n = Codes(a), Best(len(a), keep), len(a)
+    f = c.code.astype(np.float32) * c.scale[:, None].astype(np.float32)
+    for lo in range(0, n, ROWS):
+        hi = min(lo + ROWS, n)
+        for left in range(0, n, COLS):
+            right = min(left + COLS, n)
+            tile = f[lo:hi] @ f[left:right].T
+            both = np.arange(max(lo, left), min(hi, right))
+            tile[both - lo, both - left] = -2
+            off = c.miss[lo:hi] + c.size[lo:hi] * c.miss[left:right].max() + SLACK
+            if left == 0 and right - left > keep:
+                best.bar[lo:hi] = np.partition(tile, right - keep, axis=1)[:, right - keep] - off
+            flat = np.flatnonzero(tile >= (best.bar[lo:hi] - off).astype(np.float32)[:, None])
+            x, y = np.divmod(flat, right - left)
+            apart = x + lo != y + left
+            for i, j, sims in _exact(a, x[apart] + lo, a, y[apart] + left):
+                best.add(i, sims, ids[j])
+    return best
+
+
+def cross_best(a: np.ndarray, ia: np.ndarray, bar_a: np.ndarray, b: np.ndarray, ib: np.ndarray, bar_b: np.ndarray, keep: int) -> tuple[Best, Best]:
+    """Best of each row of two blocks in the other block, as far as they reach the bars; each tile serves both."""
+    ca, cb = Codes(a), Codes(b)
+    best_a, best_b = Best(len(a), keep, bar_a), Best(len(b), keep, bar_b)
     fa, fb = (c.code.astype(np.float32) * c.scale[:, None].astype(np.float32) for c in (ca, cb))
-    slack = 1e-5  # of float32 scales and sums
     for lo in range(0, len(a), ROWS):
         hi = min(lo + ROWS, len(a))
-        for left in range(lo if same else 0, len(b), COLS):
+        for left in range(0, len(b), COLS):
             right = min(left + COLS, len(b))
             tile = fa[lo:hi] @ fb[left:right].T
-            # |a.b - a'.b'| <= miss(a) + size(a') miss(b), bounded by the largest of the columns, then of the rows.
-            need_a = best_a.floor(lo, hi) - ca.miss[lo:hi] - ca.size[lo:hi] * cb.miss[left:right].max() - slack
-            hit = tile >= need_a.astype(np.float32)[:, None]
-            need_b = best_b.floor(left, right) - cb.miss[left:right] - cb.size[left:right] * ca.miss[lo:hi].max() - slack
-            if np.isneginf(need_a).any() or np.isneginf(need_b).any():
-                # Nothing to compare with yet: the tile's own best set the bar.
-                k = min(keep + 1, right - left, hi - lo)
-                bar_a = np.partition(tile, right - left - k, axis=1)[:, right - left - k] - 2 * (ca.miss[lo:hi] + ca.size[lo:hi] * cb.miss[left:right].max() + slack)
-                hit = tile >= np.maximum(need_a, bar_a).astype(np.float32)[:, None]
-                bar_b = np.partition(tile, hi - lo - k, axis=0)[hi - lo - k] - 2 * (cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + slack)
-                need_b = np.maximum(need_b, bar_b)
-            hit |= tile >= need_b.astype(np.float32)[None, :]
-            flat = np.flatnonzero(hit.ravel())
-            if not len(flat):
-                continue
-            r, c = np.divmod(flat, right - left)
-            r, c = r + lo, c + left
-            if same:
-                up = c > r
-                r, c = r[up], c[up]
-            for s in range(0, len(r), 1 << 20):
-                x, y = r[s : s + (1 << 20)], c[s : s + (1 << 20)]
-                sims = np.round(np.einsum("ij,ij->i", a[x], b[y]), 12)
-                ok = sims >= np.minimum(best_a.sim[x, -1], best_b.sim[y, -1])
-                x, y, sims = x[ok], y[ok], sims[ok]
-                if same:
-                    best_a.add(np.r_[x, y], np.r_[sims, sims], np.r_[ib[y], ia[x]])
-                else:
-                    best_a.add(x, sims, ib[y])
-                    best_b.add(y, sims, ia[x])
+            # |a.b - a'.b'| <= miss(a) + size(a') miss(b), here with the largest of the other side.
+            off_a = ca.miss[lo:hi] + ca.size[lo:hi] * cb.miss[left:right].max() + SLACK
+            off_b = cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + SLACK
+            hit = tile >= (best_a.bar[lo:hi] - off_a).astype(np.float32)[:, None]
+            hit |= tile >= (best_b.bar[left:right] - off_b).astype(np.float32)[None, :]
+            flat = np.flatnonzero(hit)
+            x, y = np.divmod(flat, right - left)
+            for i, j, sims in _exact(a, x + lo, b, y + left):
+                best_a.add(i, sims, ib[j])
+                best_b.add(j, sims, ia[i])
     return best_a, best_b
 
 
-def _pack(dim: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.asarray(pdf["vec"].tolist(), dtype=np.float32).reshape(-1, dim)
-        return pd.DataFrame({"block": [int(pdf["block"].iat[0])], "cls": [pdf["cls"].to_numpy(np.int64).tobytes()], "mat": [v.tobytes()]})
+def _rows(ids: np.ndarray, best: Best) -> pd.DataFrame:
+    live = np.isfinite(best.sim).sum(axis=1)
+    some = np.flatnonzero(live)
+    return pd.DataFrame({"cls": ids[some], "sims": [best.sim[i, : live[i]] for i in some], "near": [best.who[i, : live[i]] for i in some]})
+
+
+def _pack(dim: int, keep: int, block_rows: int):
+    def pack(batches):
+        parts = [p for p in batches if len(p)]
+        if not parts:
+            return
+        pdf = pd.concat(parts)
+        for part in np.array_split(np.arange(len(pdf)), max(1, -(-len(pdf) // (block_rows + block_rows // 4)))):
+            rows = pdf.iloc[part]
+            ids, mat = rows["cls"].to_numpy(np.int64), np.asarray(rows["vec"].tolist(), dtype=np.float32).reshape(-1, dim)
+            best = own_best(_units(mat), ids, keep)
+            whole = best.sim[:, -1]
+            own = _rows(ids, best)
+            yield pd.DataFrame(
+                {"block": [int(ids[0])], "cls": [ids.tobytes()], "mat": [mat.tobytes()], "bar": [whole.tobytes()], "ids": [[{"cls": c, "ids": i, "vec": v if len(i) == keep else None} for c, i, v in zip(ids, rows["ids"], mat)]], "own": [own.to_dict("records")]}
+            )
 
     return pack
 
@@ -130,52 +155,56 @@ def _tiles(dim: int, keep: int):
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         mats = [_units(np.frombuffer(m, dtype=np.float32).reshape(-1, dim)) for m in pdf["mat"]]
-        cls = [np.frombuffer(c, dtype=np.int64) for c in pdf["cls"]]
-        same = len(mats) == 1
-        bests = join_blocks(mats[0], cls[0], mats[-1], cls[-1], keep, same)
-        out = []
-        for ids, best in zip(cls, bests[: len(mats)]):
-            live = np.isfinite(best.sim).sum(axis=1)
-            out.append(pd.DataFrame({"cls": ids, "sims": [s[:n] for s, n in zip(best.sim, live)], "near": [w[:n] for w, n in zip(best.who, live)]}))
-        return pd.concat(out)
+        ids = [np.frombuffer(c, dtype=np.int64) for c in pdf["cls"]]
+        bars = [np.frombuffer(c, dtype=np.float64) for c in pdf["bar"]]
+        return pd.concat([_rows(i, b) for i, b in zip(ids, cross_best(mats[0], ids[0], bars[0], mats[1], ids[1], bars[1], keep))])
 
     return tile
 
 
-def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16384) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32768, small: int = 10_000) -> DataFrame:
     """(id, near): ids of the k most similar by cosine (12 decimals), ties by smaller id, of every row of ``rows(id, vector)``."""
-    spark = rows.sparkSession
+    keep = k + 1
     whole = F.col("vector").isNotNull() & (F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
-    ids = stage_table(rows.where(F.col("id").isNotNull() & whole).groupBy("id").agg(F.any_value("vector").alias("vec")), "vectors")
-    # row_number <= k + 1 is limited within each task before the shuffle, so a class of any size sends few rows.
-    w = Window.partitionBy("vec").orderBy("id")
-    heads = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    classes = heads.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    good = rows.where(F.col("id").isNotNull() & whole)
+    blocks = max(1, -(-good.count() // block_rows))
+    ids = good.groupBy("id").agg(F.any_value("vector").alias("vec"))
+    # row_number <= keep is limited within each task before the shuffle, so a class of any size sends few rows.
+    heads = ids.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= keep)
+    classes = heads.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
     # Class numbers follow the smallest ids' order (range partitions), so ties between classes go by number.
-    cls = stage_table(classes.orderBy(F.col("ids")[0]).withColumn("cls", F.monotonically_increasing_id()), "classes")
-    blocks = max(1, -(-cls.count() // block_rows))
-    part = F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int")
-    packed = cls.select("cls", "vec", part.alias("block")).groupBy("block").applyInPandas(_pack(dim), "block int, cls binary, mat binary")
-    # Each block goes to its pairs with every block, itself included: blocks + 1 copies.
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))
-    n_pairs = blocks * (blocks + 1) // 2
-    met = packed.select("block", "cls", "mat", F.explode(pairs).alias("p")).repartition(n_pairs, "p").groupBy("p")
-    found = met.applyInPandas(_tiles(dim, k + 1), "cls bigint, sims array<double>, near array<bigint>")
+    numbered = classes.repartitionByRange(blocks, "first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cls"), "vec", "ids")
+    listed = "array<struct<cls:bigint,ids:array<string>,vec:array<float>>>"  # the vector of a class that may have more ids
+    packed = stage_table(numbered.mapInPandas(_pack(dim, keep, block_rows), f"block bigint, cls binary, mat binary, bar binary, ids {listed}, own array<struct<cls:bigint,sims:array<double>,near:array<bigint>>>"), "blocks")
+    cls = packed.select(F.explode("ids").alias("x")).select("x.*")
+    numbers = sorted(r["block"] for r in packed.select("block").collect())  # one a block
+    others = F.array(*[F.lit(b) for b in numbers]) if numbers else F.array().cast("array<bigint>")
+    pairs = F.transform(F.filter(others, lambda j: j != F.col("block")), lambda j: F.struct(F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))
+    met = packed.select("block", "cls", "mat", "bar", F.explode(pairs).alias("p")).repartition(max(1, len(numbers) * (len(numbers) - 1) // 2), "p").groupBy("p")
+    cross = met.applyInPandas(_tiles(dim, keep), "cls bigint, sims array<double>, near array<bigint>")
+    found = stage_table(packed.select(F.explode("own").alias("x")).select("x.*").unionByName(cross), "best")
     merged = found.groupBy("cls").agg(F.flatten(F.collect_list("sims")).alias("sims"), F.flatten(F.collect_list("near")).alias("near"))
     entry = F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("c"))
-    near = merged.select("cls", F.slice(F.sort_array(entry), 1, k + 1).alias("e")).select("cls", F.posexplode("e").alias("at", "e")).select("cls", F.col("e.s").alias("s"), F.col("e.c").alias("near"))
+    near = merged.select("cls", F.explode(F.slice(F.sort_array(entry), 1, keep)).alias("e")).select("cls", F.col("e.s").alias("s"), F.col("e.c").alias("near"))
     # A class is also near itself, at similarity 1; its own ids count for its members.
-    mine = cls.select("cls", F.lit(-1.0).alias("s"), F.col("cls").alias("near"))
-    named = near.unionByName(mine).join(cls.select(F.col("cls").alias("near"), "ids"), "near")
-    listed = named.select("cls", F.explode(F.transform("ids", lambda i: F.struct(F.col("s").alias("s"), i.alias("i")))).alias("e"))
-    best = listed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k + 1).alias("e"))
-    lists = best.join(cls.select("cls", "vec", "ids"), "cls").select("vec", F.size("ids").alias("n"), F.col("ids")[0].alias("id"), F.transform("e", lambda x: x["i"]).alias("all"))
-    alone = lists.where("n = 1").select("id", "all")
-    shared = ids.join(lists.where("n > 1").select("vec", "all"), "vec").select("id", "all")  # a hot class is split by AQE
-    return alone.unionByName(shared).select("id", F.slice(F.filter("all", lambda x: x != F.col("id")), 1, k).alias("near"))
-
-
-def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16384) -> DataFrame:
+    mine = cls.select("cls", F.lit(-1.0).alias("s"), F.explode("ids").alias("id"), F.lit(True).alias("own"))
+    named = near.join(cls.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "s", F.explode("ids").alias("id"), F.lit(False).alias("own")).unionByName(mine)
+    entries = F.sort_array(F.collect_list(F.struct("s", "id"))), F.collect_list(F.when(F.col("own"), F.col("id")))
+    best = named.groupBy("cls").agg(F.slice(entries[0], 1, keep).alias("e"), entries[1].alias("ids"))
+    lists = best.select("cls", "ids", F.transform("e", lambda x: x["id"]).alias("all"))
+    direct = lists.select(F.explode("ids").alias("id"), "all")
+    # A class with keep listed ids may have more: those are found by the vector, with a broadcast only if few classes are such.
+    large = stage_table(cls.where(F.col("vec").isNotNull()).select("cls", "vec", "ids"), "large-classes")
+    n_large = large.count()
+    more = direct.limit(0)
+    if n_large:
+        few = F.broadcast if n_large <= small else (lambda d: d)
+        members = good.select("id", F.col("vector").alias("vec")).join(few(large), "vec").where(~F.array_contains("ids", F.col("id"))).select("id", "cls").distinct()
+        more = members.join(few(lists.join(large.select("cls"), "cls", "left_semi").select("cls", "all")), "cls").select("id", "all")
+    return direct.unionByName(more).select("id", F.slice(F.filter("all", lambda x: x != F.col("id")), 1, k).alias("near"))
+
+
+def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32768) -> DataFrame:
     """Unordered pairs (id_a < id_b) of which at least one is among the k most similar of the other."""
     e = nearest(rows, k, dim, block_rows).select("id", F.explode("near").alias("n"))
     return e.select(F.least("id", "n").alias("id_a"), F.greatest("id", "n").alias("id_b")).distinct()
