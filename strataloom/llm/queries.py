@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, credentials, neighbors, pack, split, syntax, vendored
+from strataloom.llm import bpe, credentials, neighbors, pack, residue, split, syntax, vendored
 from strataloom.session import table
 
 
@@ -57,7 +57,15 @@ def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     return pack.pack_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_kinds(spark, root).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue(table(spark, root, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
