@@ -19,9 +19,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; null for null, empty, all-zero vectors or unequal lengths."""
+    """1 - cosine, to 12 decimals; null for null, empty, all-zero vectors or unequal lengths."""
     n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (n > 0), F.lit(1.0) - dot(a, b) / n)
+    return F.when((F.size(a) == F.size(b)) & (n > 0), F.round(F.lit(1.0) - dot(a, b) / n, 12) + F.lit(0.0))
 
 
 def non_zero(v: Column) -> Column:

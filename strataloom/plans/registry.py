@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.plans import reference_queries
+from strataloom.plans import core_queries, reference_queries
 
-_MODULES = [reference_queries]
-FLAGSHIP = reference_queries.p1_report
+_MODULES = [core_queries, reference_queries]
+FLAGSHIP = core_queries.hybrid_rerank
 
 
 def queries() -> dict:
