@@ -317,7 +317,7 @@ def test_filter(spark, root):
     return S.test_filter(top, QUESTION).select("id", F.col("rank").cast("bigint").alias("rank"))
 
 
-_SEEDS = "(SELECT id, min(start_line) AS rank FROM chunks WHERE chunk_type = 'class' GROUP BY id)"
+_SEEDS = "(SELECT id, min(start_line) AS rank FROM chunks WHERE chunk_type = 'method' GROUP BY id)"
 
 
 _ONE = "(SELECT regexp_extract(file_path, '^/ws/([^/]*)/', 1) AS r, name, min(file_path) AS a FROM chunks WHERE name IS NOT NULL AND source_kind = 'file' GROUP BY ALL HAVING min(file_path) = max(file_path))"
@@ -330,7 +330,7 @@ _ONE = "(SELECT regexp_extract(file_path, '^/ws/([^/]*)/', 1) AS r, name, min(fi
 SELECT t.id, min((seed_rank, nth))[1] AS seed_rank, 0.5 AS similarity FROM hop JOIN t ON t.file_path = hop.to_file AND t.name = hop.to_symbol WHERE t.id NOT IN (SELECT id FROM s) GROUP BY t.id""")
 def edge_expand(spark, root):
     c = table(spark, root, "chunks").select("id", "file_path", "name", "start_line", "chunk_type", "source_kind")
-    seeds = c.where("chunk_type = 'class'").groupBy("id").agg(F.min("start_line").alias("rank"))
+    seeds = c.where("chunk_type = 'method'").groupBy("id").agg(F.min("start_line").alias("rank"))
     e = E.resolve_edges(table(spark, root, "edges").select("edge_id", "from_chunk_id", "from_file", "to_file", "to_symbol", "edge_type").distinct(), c)
     return E.expand_edges(seeds, e, c.where("name is not null")).select("id", "seed_rank", "similarity")
 
