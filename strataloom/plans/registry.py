@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import core_queries, reference_queries
+from strataloom.plans import core_queries, pipeline_queries, reference_queries
 
-_MODULES = [core_queries, reference_queries]
+_MODULES = [core_queries, pipeline_queries, reference_queries]
 FLAGSHIP = core_queries.hybrid_rerank
 
 
