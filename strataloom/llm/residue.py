@@ -26,11 +26,11 @@ ERROR = """
 502 bad gateway|bad gateway|503 service unavailable|service unavailable|service temporarily unavailable|is down for maintenance|down for maintenance|temporarily down|504 gateway timeout|gateway timeout|gateway time-out|while contacting upstream|took too long to respond|this site can't be reached|
 connection refused|connection timed out|too many requests|please slow down and try again|rate limit exceeded|your session has expired|please sign in again|please log in again|session expired|prove that you are not a robot|prove you are human|verify you are human|checking your browser|complete the check below|
 {"error": {"code":|{"error":|"status": "internal"|try again later|please try again|
-seite nicht gefunden|zurück zur startseite|interner serverfehler|bitte später erneut versuchen|zugriff verweigert|dienst nicht verfügbar|ihre sitzung ist abgelaufen|ein fehler ist aufgetreten|zu viele anfragen|
-page introuvable|retour à l'accueil|une erreur interne est survenue|erreur 500|erreur 404|accès refusé à cette ressource|accès refusé|accès interdit|service indisponible|votre session a expiré|une erreur est survenue|trop de requêtes|
-página no encontrada|compruebe la dirección|error interno del servidor|acceso denegado|servicio no disponible|su sesión ha caducado|se ha producido un error|demasiadas solicitudes|
-页面不存在|已被删除|页面未找到|找不到页面|服务器内部错误|请稍后再试|访问被拒绝|拒绝访问|服务不可用|会话已过期|无权访问|请求过多|网关超时|
-ページが見つかりません|ご確認ください|アクセスが拒否されました|サーバーエラー|サーバー内部エラー|エラーが発生しました|サービスを利用できません|しばらくしてから|セッションの有効期限|
+seite nicht gefunden|zurück zur startseite|interner serverfehler|bitte später erneut versuchen|zugriff verweigert|melden sie sich erneut an|dienst nicht verfügbar|ihre sitzung ist abgelaufen|ein fehler ist aufgetreten|zu viele anfragen|
+page introuvable|retour à l'accueil|une erreur interne est survenue|erreur 500|erreur 404|connectez-vous à nouveau|accès refusé à cette ressource|accès refusé|accès interdit|service indisponible|votre session a expiré|une erreur est survenue|trop de requêtes|
+página no encontrada|compruebe la dirección|error interno del servidor|acceso denegado|inicie sesión de nuevo|servicio no disponible|su sesión ha caducado|se ha producido un error|demasiadas solicitudes|
+页面不存在|已被删除|页面未找到|找不到页面|服务器内部错误|请稍后再试|访问被拒绝|拒绝访问|服务不可用|会话已过期|请重新登录|无权访问|请求过多|网关超时|
+ページが見つかりません|ご確認ください|アクセスが拒否されました|サーバーエラー|サーバー内部エラー|エラーが発生しました|サービスを利用できません|しばらくしてから|セッションの有効期限|もう一度ログイン|再度ログイン|
 ошибка 404|ошибка 500|страница не найдена|внутренняя ошибка сервера|доступ запрещён|доступ запрещен|войдите снова|сервис недоступен|попробуйте позже|время сеанса истекло|произошла ошибка|слишком много запросов
 """
 # Phrases of notices that scripts are required.
