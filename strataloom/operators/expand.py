@@ -19,7 +19,9 @@ def expand_edges(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, per_seed
     hop = e.join(s, e.from_chunk_id == s.seed_id)
     w = Window.partitionBy("seed_id").orderBy("edge_id", "to_file", "to_symbol")
     hop = hop.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_seed)
-    target = chunks.groupBy(F.col("file_path").alias("to_file"), F.col("name").alias("to_symbol")).agg(F.min(F.struct("id", "start_line")).alias("t"))
+    # Only chunks that are called are grouped; for few seeds the semi join is a broadcast and chunks aren't shuffled.
+    called = chunks.select(F.col("file_path").alias("to_file"), F.col("name").alias("to_symbol"), "id", "start_line").join(hop.select("to_file", "to_symbol").distinct(), ["to_file", "to_symbol"], "left_semi")
+    target = called.groupBy("to_file", "to_symbol").agg(F.min(F.struct("id", "start_line")).alias("t"))
     found = hop.join(target, ["to_file", "to_symbol"]).select(F.col("t.id").alias("id"), "seed_rank", "nth", "to_file", "to_symbol")
     fresh = found.join(s.select(F.col("seed_id").alias("id")).distinct(), "id", "left_anti")
     first = fresh.groupBy("id").agg(F.min(F.struct("seed_rank", "nth")).alias("at"), F.first("to_file").alias("file_path"), F.first("to_symbol").alias("name"))

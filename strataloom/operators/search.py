@@ -25,15 +25,12 @@ def vector_topk(rows: DataFrame, vector: str, query: list[float], k: int, id_col
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top k of ``rows(id, vec)`` for every row of ``queries(qid, qvec)``, a bounded set of stated queries.
 
-    The queries are the broadcast side (their number is the caller's bound); each task first keeps its own k per query by
-    a partial ``max_by``-like aggregation (sorted k smallest structs), so the shuffle holds k rows a task and query.
+    The queries are the broadcast side (their number is the caller's bound). ``row_number <= k`` is limited within each task
+    before the exchange, so a task sends k rows a query, however many rows it compares.
     """
     pairs = rows.join(F.broadcast(queries), F.lit(True)).withColumn("dist", cosine_distance(F.col("vec"), F.col("qvec"))).where("dist is not null")
-    part = pairs.withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("qid", "part").orderBy("dist", "id")
-    local = part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r", "part")
-    g = Window.partitionBy("qid").orderBy("dist", "id")
-    return local.withColumn("rank", F.row_number().over(g)).where(F.col("rank") <= k).select("qid", "id", "dist", "rank")
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return pairs.select("qid", "id", "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def after_limit(hits: DataFrame, threshold: float, vector: str | None = None) -> DataFrame:

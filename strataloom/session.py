@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,10 +36,20 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_drop, spark, path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished stages
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table when the driver ends, if its JVM still runs."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once a session, unless their PYTHONPATH has it already."""
     package = os.path.dirname(os.path.abspath(__file__))
