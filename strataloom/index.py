@@ -184,6 +184,36 @@ def build_context(spark: SparkSession, index: str, query: str, embedder: embed.E
     return {"content": text, "ids": [r["id"] for r in kept], "tokensSent": sent, "estimatedWithout": base, "reductionPct": pct[0], "mode": pct[1], "filesInContext": len({r["file_path"] for r in kept}), "tasks": tasks}
 
 
+def import_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest kept as JSON, as the manifest table: maps ``hashes``, ``tokenCounts`` and ``stats``, or the bare map of hashes.
+
+    A missing map entry is null; an unreadable file gives no rows.
+    """
+    try:
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f)
+        hashes = raw["hashes"] if isinstance(raw.get("hashes"), dict) else raw
+        counts, stats = (raw.get(k) or {} if hashes is not raw else {} for k in ("tokenCounts", "stats"))
+        rows = [(p, h, counts.get(p), (stats.get(p) or {}).get("size"), (stats.get(p) or {}).get("mtimeMs")) for p, h in hashes.items() if isinstance(h, str)]
+    except (OSError, ValueError, AttributeError):
+        rows = []
+    return spark.createDataFrame([(p, h, c, s, None if m is None else float(m)) for p, h, c, s, m in rows], schemas.MANIFEST)
+
+
+def health(spark: SparkSession, index: str) -> dict:
+    """Checks of an index, each true or false: state, tables, vector lengths."""
+    out = {"state": False, "chunks": False, "edges": False, "manifest": False, "vectors": False}
+    try:
+        s = read_state(index)
+        out["state"] = True
+        for name in ("chunks", "edges", "manifest"):
+            out[name] = load(spark, index, name).count() >= 0
+        out["vectors"] = load(spark, index, "chunks").where(F.size("vector") != s["dimension"]).isEmpty()
+    except NoIndexError:
+        pass
+    return out
+
+
 def status(spark: SparkSession, index: str, root: str | None = None) -> dict:
     """State of the index and, given the tree, how many files are newer than it."""
     s = read_state(index)

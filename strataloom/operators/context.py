@@ -10,17 +10,19 @@ from strataloom.functions import text as X
 
 # Tokens that one tool call costs, files a reader would open, largest shown percentage.
 CALL_TOKENS, READ_FILES, MAX_PCT = 300, 5, 98
+SALTS = 32
 
 
 def budget_fill(rows: DataFrame, budget: int, separator: int, by: list[str], *order: str) -> DataFrame:
     """Rows (with ``tokens``) of each group up to the first that doesn't fit; the separator costs for every row but the first.
 
     Costs are never negative, so the running sum decides. Null tokens cost 0. With a separator at most budget // separator + 1
-    rows can fit: each task keeps only so many rows of a group before the shuffle, so a group of any size is small there.
+    rows can fit; each salted part of a group is cut to so many first, so a group of any size leaves one task few rows.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     if separator > 0:
-        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget // separator + 1).drop("__n")
+        part = Window.partitionBy(*by, F.pmod(F.xxhash64(*order), F.lit(SALTS))).orderBy(*order)
+        rows = rows.withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= budget // separator + 1).drop("__n")
     cost = F.sum(F.coalesce("tokens", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(separator) * (F.row_number().over(w) - 1)
     return rows.withColumn("used", cost).where(F.col("used") <= budget)
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Texts a batch, pause before the one retry, messages that call for it.
+# Texts a batch, pause before the one retry, time a batch may take, messages that call for the retry.
 BATCH, RETRY_SECONDS = 50, 2.0
+TIMEOUT_SECONDS = 30.0
 COLD = ("connection refused", "connection reset", "timed out", "temporarily unavailable")
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -40,6 +43,21 @@ def hashed_words(dim: int = 64) -> Embedder:
     return embed
 
 
+def within(embedder: Embedder, seconds: float = TIMEOUT_SECONDS) -> Embedder:
+    """``embedder``, given up with TimeoutError ("timed out") after ``seconds``."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(embedder, texts).result(seconds)
+        except FutureTimeout:
+            raise TimeoutError(f"the embedder timed out after {seconds:g} s") from None
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return call
+
+
 def embed_batch(texts: list[str], embedder: Embedder, pause: float = RETRY_SECONDS) -> list[list[float] | None]:
     """Vectors of a batch; a text that can't be taken alone gets None. One retry after a cold-start failure."""
     if not texts:

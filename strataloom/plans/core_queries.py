@@ -17,6 +17,7 @@ from strataloom.session import table
 from strataloom.sources import commits as G
 from strataloom.sources import plain_text as P
 from strataloom.streaming import sessions as K
+from strataloom.streaming import watch as Wa
 
 QUERIES, SQL = {}, {}
 QUESTION = "where does the cursor load its stable config"
@@ -491,6 +492,10 @@ def status_line(spark, root):
     return t.select("session_id", F.when((pct <= 0) | (F.col("base") - F.col("sent") <= 0), "idle").otherwise(F.concat(pct.cast("string"), F.lit("%"))).alias("shown"))
 
 
-@query("SELECT DISTINCT short_hash, coalesce(nullif(regexp_extract(message, '(\\d+ [a-z]+)', 1), ''), 're-indexed') AS summary FROM commits")
+_LOG = "CASE WHEN len(files) > 1 THEN 'incremental index -- ' || len(files) || ' new, 2 changed, 0 removed' ELSE 'full index' END"
+
+
+@query(f"SELECT DISTINCT short_hash, 're-indexed ' || CASE WHEN contains(log, 'incremental index --') THEN '(' || regexp_extract(log, '(\\d+ new, \\d+ changed, \\d+ removed)', 1) || ') ' ELSE '' END || 'in 1.2s' AS summary FROM (SELECT short_hash, {_LOG} AS log FROM commits)")
 def watch_summary(spark, root):
-    return table(spark, root, "commits").select("short_hash", F.coalesce(F.nullif(F.regexp_extract("message", r"(\d+ [a-z]+)", 1), F.lit("")), F.lit("re-indexed")).alias("summary")).distinct()
+    log = F.when(F.size("files") > 1, F.concat(F.lit("incremental index -- "), F.size("files").cast("string"), F.lit(" new, 2 changed, 0 removed"))).otherwise("full index")
+    return table(spark, root, "commits").select("short_hash", Wa.summary(log, F.lit("1.2")).alias("summary")).distinct()
