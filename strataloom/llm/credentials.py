@@ -51,13 +51,13 @@ _FIND = re.compile(
     rf"""(?x)
     (?P<block>-----BEGIN[ ][A-Z0-9 ]+-----)
     |(?P<login>(?:-u|--user)[ =]+['"]?[\w.@\-]+:(?P<lval>[^\s'"]{{4,}}))
-    |(?P<userinfo>[a-zA-Z][\w+.\-]*://[^\s:/@'"`<>]*:(?P<pw>[^\s@'"`]+?)@)
+    |(?P<userinfo>(?<![\w+.\-])[a-zA-Z][\w+.\-]{{0,40}}://[^\s:/@'"`<>]{{0,120}}:(?P<pw>[^\s@'"`]{{1,300}}?)@)
     |(?P<param>[?&](?P<pname>[A-Za-z_][\w\-.]*)=(?P<pval>[^&\s'"`<>)\]]{{6,}}))
     |(?P<scheme>(?i:\b(?:bearer|basic|digest|token|apikey))[ ]+(?P<sval>[A-Za-z0-9+/=._~\-]{{8,}}))
-    |(?P<joined>(?:{_QUOTED})(?:\s*(?:\+|,|\.)?\s*(?:\\\n\s*)?(?:{_QUOTED}))+(?=\s*(?:\]\s*\.(?:concat|join)|[;,)\]}}\n]|$)))
+    |(?P<joined>(?:{_QUOTED})(?:\s{{0,40}}(?:\+|,|\.)?\s{{0,40}}(?:\\\n\s{{0,40}})?(?:{_QUOTED}))+(?=\s{{0,40}}(?:\]\s*\.(?:concat|join)|[;,)\]}}\n]|$)))
     |(?P<quoted>{_QUOTED})
     |(?P<said>(?i:\b(?:pass(?:word|phrase|code)|passwort|kennwort|contraseña|mot\ de\ passe|secret|token|api[- ]key|key|pin))[ ]+(?:(?i:is|was|of|ist|=|:)[ ]+)?(?P<said_val>(?![^\s]*[^!-~\s])[^\s'"`]{{6,}}))
-    |(?P<set>(?<![\w.])(?P<sname>[A-Za-z_][\w.\-]*)[ \t]*(?:=|:=|:)[ \t]*(?P<setval>(?!//|\d+/|(?i:bearer|basic|token|apikey)\b)[^\s&'"`,;(){{}}\[\]<>][^\s'"`,;(){{}}<>]{{5,}})(?=[\s;,]|$))
+    |(?P<set>(?<![\w.\-])(?P<sname>[A-Za-z_][\w.\-]{{0,80}})[ \t]{{0,20}}(?:=|:=|:)[ \t]*(?P<setval>(?!//|\d+/|(?i:bearer|basic|token|apikey)\b)[^\s&'"`,;(){{}}\[\]<>][^\s'"`,;(){{}}<>]{{5,}})(?=[\s;,]|$))
     |(?P<word>(?<![\w/+=.\-])(?=[\w+/=\-]*\d)(?=[\w+/=\-]*[A-Za-z])[A-Za-z0-9/+][\w+/=.\-]{{15,}})
     """
 )

@@ -32,7 +32,7 @@ GRAM, WINDOW = 24, 8
 LEAST = 20  # fingerprints, below which recurrence can't be told from an idiom
 SHARE, REPOS = 0.7, 3
 
-_STRING_OR_COMMENT = re.compile(r"""('(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")|/\*.*?\*/|//[^\n]*|(?m:^[ \t]*\#(?!!?\[)[^\n]*)""", re.S)
+_STRING_OR_COMMENT = re.compile(r"""('(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|//[^\n]*|(?m:^[ \t]*\#(?!!?\[)[^\n]*)""", re.S)
 _TOKEN = re.compile(r"\w+|[^\w\s;,'\"`]")
 # Openings of the notices that tools write at the top of their output.
 _NOTICE = re.compile(
@@ -84,7 +84,7 @@ def numbered_shapes(text: str, path: str = "") -> bool:
     """Declarations numbered 0, 1, 2, ... that make up the file, without control flow but for guards; one is enough in a file named as generators do."""
     found = _DECLARED.findall(text) + _RECEIVER.findall(text)
     numbers = sorted({int(n) for _, n, _ in found})
-    declared = len(re.findall(r"(?m)^\s*(?:export\s+|pub\s+|default\s+|abstract\s+)*(?:class|struct|impl|interface|enum|trait|type)\b", text))
+    declared = len(re.findall(r"(?m)^[ \t]*(?:export\s+|pub\s+|default\s+|abstract\s+)*(?:class|struct|impl|interface|enum|trait|type)\b", text))
     least = 1 if _TOOL_NAME.search(path) else 2
     return len(numbers) >= least and numbers == list(range(numbers[0], numbers[0] + len(numbers))) and numbers[0] <= 1 and declared <= len(found) + 1 and len(_CONTROL.findall(_GUARD.sub("", text))) <= declared // 4
 
