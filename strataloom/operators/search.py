@@ -5,6 +5,8 @@ Rank is carried as an explicit column, since rows have no order. Ties: smaller i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,22 @@ def vector_topk(rows: DataFrame, vector: str, query: list[float], k: int, id_col
     return rows.withColumn("dist", cosine_distance(F.col(vector), q)).where(F.col("dist").isNotNull()).orderBy("dist", id_col).limit(k)
 
 
-def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k of ``rows(id, vec)`` for every row of ``queries(qid, qvec)``, a bounded set of stated queries.
+def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """Top k of ``rows(id, vec)`` for every row of ``queries(qid, qvec)``, a stated set of queries.
 
-    The queries are the broadcast side (their number is the caller's bound). ``row_number <= k`` is limited within each task
-    before the exchange, so a task sends k rows a query, however many rows it compares.
+    Queries are broadcast in blocks of at most about ``block``, by hash, however many there are. ``row_number <= k`` is limited
+    within each task before the exchange, so a task sends k rows a query, however many rows it compares. No queries give no rows.
     """
-    pairs = rows.join(F.broadcast(queries), F.lit(True)).withColumn("dist", cosine_distance(F.col("vec"), F.col("qvec"))).where("dist is not null")
+    n = max(1, -(-queries.count() // block))
     w = Window.partitionBy("qid").orderBy("dist", "id")
-    return pairs.select("qid", "id", "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(some), F.lit(True)).withColumn("dist", cosine_distance(F.col("vec"), F.col("qvec"))).where("dist is not null")
+        return pairs.select("qid", "id", "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    if n == 1:
+        return best(queries)
+    return reduce(DataFrame.unionByName, [best(queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
 
 
 def after_limit(hits: DataFrame, threshold: float, vector: str | None = None) -> DataFrame:

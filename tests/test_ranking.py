@@ -117,3 +117,11 @@ def test_budget_stops_at_the_first_that_does_not_fit(spark, tokens, budget, want
 def test_commit_text(spark):
     files = F.array(F.struct(F.lit("a b.ts").alias("path"), F.lit(1).alias("insertions"), F.lit(None).cast("int").alias("deletions")))
     assert one(spark, D.commit_text(F.lit("h"), F.lit("me"), F.lit(None).cast("string"), F.lit(" "), files)) == "Commit: h\nAuthor: me\nDate: \n\n(no commit message)\n\nTouched files:\n- a b.ts (+1/-0)"
+
+
+def test_batched_topk_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(99, None), (98, [0.0, 0.0, 0.0])], "id int, vec array<double>")
+    queries = rows.where("id < 12").selectExpr("id as qid", "vec as qvec")
+    got = lambda block: sorted((r["qid"], r["rank"], r["id"]) for r in S.vector_topk_batch(rows, queries, 4, block).collect())
+    assert got(1000) == got(5) and len(got(5)) == 48
+    assert S.vector_topk_batch(rows, queries.limit(0), 4).count() == 0
