@@ -64,7 +64,7 @@ expr: chain [ range [ chain ] ] | range [ chain ]
 range: '..' | '..='
 chain: operand { infix operand }
 infix: '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '&' '&' | '|' '|' | '<' | '>' | '<' '<' | '>' '>' | '==' | '!=' | '<=' | '>' '=' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<' '<=' | '>' '>' '='
-operand: { attr } { '-' | '!' | '*' | '&' ['mut'] | '&' ID ( 'const' | 'mut' ) } primary { suffix } | 'let' pattern '=' chain | closure | jump
+operand: { attr } { '-' | '!' | '*' | '&' ['mut'] | '&' ID ( 'const' | 'mut' ) } ( primary { suffix } | closure | jump ) | 'let' pattern '=' chain
 suffix: '.' ( ID [ '::' gargs ] | 'await' | NUM ) | '(' [ expr { ',' expr } [','] ] ')' | '[' expr ']' | '?' | 'as' type
 lit: NUM | STR | CHAR | 'true' | 'false'
 primary: lit | epath [ '{' [ init { ',' init } [','] ] [ '..' [ expr ] ] '}' | '{' init { ',' init } ',' '..' [ expr ] '}' | '!' delim ] | '(' [ expr { ',' expr } [','] ] ')' | '[' [ expr ( ';' expr | { ',' expr } [','] ) ] ']' | blocklike | 'async' ['move'] block | 'const' block

@@ -34,7 +34,8 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
     """Token classes of a text; "?" where nothing matches. Template and JSX braces are told from blocks by a stack."""
     out: list[str] = []
     stack: list = []  # "{": a block's brace; "`": a template's; a list: of a JSX element, its open names
-    at, n, prev, nl = 0, len(text), "", False
+    heads: list[bool] = []  # of open parentheses: whether a statement's head, after which an expression begins
+    at, n, prev = 0, len(text), ""
     while at < n:
         m = _TOKEN.match(text, at)
         c = text[at]
@@ -102,7 +103,9 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
                     prev, at = out[-1], at2
                     continue
         out.append(t)
-        prev, at = t, at2
+        if t == "(":
+            heads.append(prev in ("if", "while", "for", "with"))
+        prev, at = "" if t == ")" and heads and heads.pop() else t, at2
     return out if not stack else [*out, "?"]
 
 
