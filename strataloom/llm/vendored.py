@@ -135,7 +135,7 @@ def _signs(batches):
 
 def not_hand_written(chunks: DataFrame, releases: DataFrame) -> DataFrame:
     """(file_path, generated, minified, data, vendored) of every code file that has one of these signs."""
-    code = chunks.where((F.col("source_kind") == "file") & F.regexp_extract("file_path", r"\.([a-z]+)$", 1).isin(*CODE))
+    code = chunks.where((F.coalesce("source_kind", F.lit("file")) == "file") & F.regexp_extract("file_path", r"\.([a-z]+)$", 1).isin(*CODE))
     # A method's text is part of its class; a row of a file holds all of it, so declarations matter where there is none.
     parts = code.where(F.col("chunk_type") != "method").select("file_path", repo_of(F.col("file_path")).alias("repo"), "content")
     seen = stage_table(parts.mapInArrow(_signs, _SEEN), "signs")
