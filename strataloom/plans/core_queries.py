@@ -61,6 +61,12 @@ _DIST = "CASE WHEN len({a}) = len({b}) AND sqrt(list_dot_product({a}, {a})) * sq
 _VEC0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 
 
+def micros(name: str):
+    """Microseconds since 1970 of a time with or without a zone (the latter read as UTC, whatever the session's zone)."""
+    t = F.col(name)
+    return F.when(F.typeof(t) == "timestamp_ntz", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {name})")).otherwise(F.expr(f"timestampdiff(MICROSECOND, timestamp_micros(0), {name})"))
+
+
 def query_vector(spark: SparkSession, root: str) -> list[float]:
     """One stated query vector."""
     row = table(spark, root, "embeddings").where("vec_id = 0").select("embedding").first()
@@ -303,10 +309,10 @@ def keyword_search(spark, root):
     return S.keyword_search(c, QUESTION, 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT id, name, indexed_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at, start_line, content) AS rn FROM chunks) WHERE rn = 1")
+@query("SELECT id, name, epoch_us(indexed_at) AS indexed_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at, start_line, content) AS rn FROM chunks) WHERE rn = 1")
 def dedup_first(spark, root):
     c = table(spark, root, "chunks").select("id", "name", "indexed_at", "start_line", "content")
-    return S.dedup_first(c, "id", "indexed_at", "start_line", "content").select("id", "name", "indexed_at")
+    return S.dedup_first(c, "id", "indexed_at", "start_line", "content").select("id", "name", micros("indexed_at").alias("indexed_us"))
 
 
 @query(f"""WITH top AS (SELECT id, file_path, row_number() OVER (ORDER BY score DESC, id, start_line, content) AS rank FROM ({_KW.replace('md5(content) AS digest', 'content')}) WHERE score > 0 QUALIFY rank <= 40),
@@ -328,7 +334,7 @@ _ONE = "(SELECT regexp_extract(file_path, '^/ws/([^/]*)/', 1) AS r, name, min(fi
  hop AS (SELECT s.id AS seed_id, s.rank AS seed_rank, to_file, to_symbol, row_number() OVER (PARTITION BY s.id ORDER BY edge_id, to_file, to_symbol) AS nth
  FROM (SELECT * FROM res WHERE to_file IS NOT NULL) e JOIN s ON e.from_chunk_id = s.id QUALIFY nth <= 5),
  t AS (SELECT file_path, name, min(id) AS id FROM chunks WHERE name IS NOT NULL GROUP BY ALL)
-SELECT t.id, min((seed_rank, nth))[1] AS seed_rank, 0.5 AS similarity FROM hop JOIN t ON t.file_path = hop.to_file AND t.name = hop.to_symbol WHERE t.id NOT IN (SELECT id FROM s) GROUP BY t.id""")
+SELECT t.id, min((seed_rank, nth))[1] AS seed_rank, 0.5::DOUBLE AS similarity FROM hop JOIN t ON t.file_path = hop.to_file AND t.name = hop.to_symbol WHERE t.id NOT IN (SELECT id FROM s) GROUP BY t.id""")
 def edge_expand(spark, root):
     c = table(spark, root, "chunks").select("id", "file_path", "name", "start_line", "chunk_type", "source_kind")
     seeds = c.where("chunk_type = 'method'").groupBy("id").agg(F.min("start_line").alias("rank"))
@@ -448,13 +454,13 @@ def total_tokens(spark, root):
     return _versions(spark, root)[0].agg(F.sum(F.coalesce("token_count", F.lit(0))).alias("total"), F.count("*").alias("files"))
 
 
-@query(f"SELECT count_if(n <= 8192) AS kept, count_if(n > 8192) AS skipped FROM (SELECT {_WC.format(t='content')} * 10 AS n FROM chunks)")
+@query(f"SELECT count_if(n <= 8192)::BIGINT AS kept, count_if(n > 8192)::BIGINT AS skipped FROM (SELECT {_WC.format(t='content')} * 10 AS n FROM chunks)")
 def embed_size_filter(spark, root):
     n = X.word_count(F.col("content")) * 10
     return table(spark, root, "chunks").agg(F.count_if(n <= 8192).alias("kept"), F.count_if(n > 8192).alias("skipped"))
 
 
-@query("SELECT count_if(vector IS NULL) AS missing, count_if(len(list_filter(vector, lambda x: x <> 0)) = 0) AS zero, count(*) AS rows FROM chunks")
+@query("SELECT count_if(vector IS NULL)::BIGINT AS missing, count_if(len(list_filter(vector, lambda x: x <> 0)) = 0)::BIGINT AS zero, count(*) AS rows FROM chunks")
 def zero_guard(spark, root):
     v = F.col("vector")
     return table(spark, root, "chunks").agg(F.count_if(v.isNull()).alias("missing"), F.count_if(~non_zero(v)).alias("zero"), F.count("*").alias("rows"))
@@ -471,17 +477,19 @@ def staleness(spark, root):
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(called_at) - epoch_us(lag(called_at) OVER w) <= 7200000000 THEN 0 ELSE 1 END AS st FROM tool_calls WINDOW w AS (PARTITION BY session_id ORDER BY called_at, call_id)),
 s AS (SELECT *, sum(st) OVER (PARTITION BY session_id ORDER BY called_at, call_id) AS session_no FROM g)
-SELECT session_id, session_no::BIGINT AS session_no, sum(coalesce(tokens_sent, 0))::BIGINT AS tokens_sent, sum(coalesce(tokens_estimated, 0))::BIGINT AS tokens_estimated, count(*) AS calls, max(called_at) AS last_at,
+SELECT session_id, session_no::BIGINT AS session_no, sum(coalesce(tokens_sent, 0))::BIGINT AS tokens_sent, sum(coalesce(tokens_estimated, 0))::BIGINT AS tokens_estimated, count(*) AS calls, epoch_us(max(called_at)) AS last_us,
  arg_max(coalesce(tokens_sent, 0), (called_at, call_id)) AS last_sent, arg_max(coalesce(tokens_estimated, 0), (called_at, call_id)) AS last_estimated FROM s GROUP BY session_id, session_no""")
 def session_totals(spark, root):
-    return K.session_totals(table(spark, root, "tool_calls"), "session_id", "called_at", 7200, "tokens_sent", "tokens_estimated", "call_id")
+    out = K.session_totals(table(spark, root, "tool_calls"), "session_id", "called_at", 7200, "tokens_sent", "tokens_estimated", "call_id")
+    return out.withColumn("last_us", micros("last_at")).drop("last_at")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 600000000 THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
-SELECT user_id, count(*) AS n_events, min(ts) AS first_at, max(ts) AS last_at FROM s GROUP BY user_id, no""")
+SELECT user_id, count(*) AS n_events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, no""")
 def debounce_bursts(spark, root):
-    return K.bursts(table(spark, root, "events"), "user_id", "ts", 600)
+    out = K.bursts(table(spark, root, "events"), "user_id", "ts", 600)
+    return out.select("user_id", "n_events", micros("first_at").alias("first_us"), micros("last_at").alias("last_us"))
 
 
 @query(f"""SELECT session_id, CASE WHEN pct <= 0 OR saved <= 0 THEN 'idle' ELSE pct || '%' END AS shown FROM (SELECT session_id, least(98, CASE WHEN base > 0 THEN floor((1 - sent::DOUBLE / base) * 100 + 0.5) ELSE 0 END)::INT AS pct, base - sent AS saved
