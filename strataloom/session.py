@@ -51,10 +51,11 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers, once a session, unless their PYTHONPATH has it already."""
+    """Sends this package to the workers, once a session; workers of a local master have it if PYTHONPATH names it."""
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark, "_strataloom_shipped", False):
+    near = spark.sparkContext.master.startswith("local") and root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if near or getattr(spark, "_strataloom_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="strataloom-"), "strataloom.zip")
     with zipfile.ZipFile(archive, "w") as z:
