@@ -47,6 +47,7 @@ _RECEIVER = re.compile(r"(?m)^func \(\w+ \*?([A-Za-z_]\w*?)(\d+)(\w*)\) ")
 _GUARD = re.compile(r"\bif \w+ [!=]= nil \{[^{}]*\}")  # of an accessor
 _TOOL_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h)|\.(?:g|gen|generated)\.[a-z]+|/zz_generated[._][^/]*|_generated\.[a-z]+)$")  # file names that generators give
 _CONTROL = re.compile(r"\b(?:if|for|while|switch|match|try|loop|await|yield|raise|throw)\b")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[^-]{0,20000}-----END [A-Z0-9 ]+-----")
 _LITERAL = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?<![\w.])-?(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?)\b")
 
 
@@ -102,10 +103,10 @@ def minified(text: str) -> bool:
 
 
 def mostly_data(text: str) -> bool:
-    """Literals, with the brackets and commas between them, make up most of a file of some size."""
+    """Literals, with the commas between them, make up most of a file of some size; a key block is a setting, not data."""
     if len(text) < 600:
         return False
-    code = bare(text)
+    code = _KEY_BLOCK.sub("", bare(text))
     solid = len("".join(code.split()))
     return solid >= 600 and len("".join("".join(_LITERAL.findall(code)).split())) + code.count(",") >= 0.8 * solid
 
@@ -136,8 +137,8 @@ def _signs(batches):
 def not_hand_written(chunks: DataFrame, releases: DataFrame) -> DataFrame:
     """(file_path, generated, minified, data, vendored) of every code file that has one of these signs."""
     code = chunks.where((F.coalesce("source_kind", F.lit("file")) == "file") & F.regexp_extract("file_path", r"\.([a-z]+)$", 1).isin(*CODE))
-    # A method's text is part of its class; a row of a file holds all of it, so declarations matter where there is none.
-    parts = code.where(F.col("chunk_type") != "method").select("file_path", repo_of(F.col("file_path")).alias("repo"), "content")
+    # A method's text is part of its class, but for Go, whose methods stand alone.
+    parts = code.where((F.coalesce("chunk_type", F.lit("file")) != "method") | F.col("file_path").endswith(".go")).select("file_path", repo_of(F.col("file_path")).alias("repo"), "content")
     seen = stage_table(parts.mapInArrow(_signs, _SEEN), "signs")
     bit = lambda b: F.col("kinds").bitwiseAND(b) > 0
     part = lambda b: F.coalesce(F.sum(F.when(bit(b), F.col("size"))) >= PART * F.sum("size"), F.lit(False))

@@ -73,11 +73,13 @@ def test_files(spark):
     rows += [("/ws/r5/a.js", "file", gen), ("/ws/r5/b.js", "file", "/*\n * Code generated by protoc. DO NOT EDIT.\n */\n" + own[2]), ("/ws/r5/c.js", "file", mini), ("/ws/r5/d.js", "file", data)]
     rows += [("/ws/r6/e.js", "file", own[3] + "\nconst line = '" + "word " * 120 + "';\n"), ("/ws/r6/f.js", "file", own[4] + "\nexport const small = [1, 2, 3, 4, 5];\n"), ("/ws/r6/empty.js", "file", ""), ("/ws/r6/null.js", "file", None), ("/ws/r6/README.md", "file", data)]
     rows += [("/ws/r6/parts.js", "function", own[5])] * 2
+    rows += [("/ws/r7/order.pb.go", "method", f'func (x *Order{i}) GetA() string {{\n\tif x != nil {{\n\t\treturn x.A\n\t}}\n\treturn ""\n}}') for i in range(2)]
+    rows += [("/ws/r7/hand.go", "method", 'func (x *Order) GetA() string {\n\treturn x.a\n}')]
     df = spark.createDataFrame([(*r, "file", 1) for r in rows], "file_path string, chunk_type string, content string, source_kind string, kinds int")
     rel = spark.createDataFrame([(1, lib)], "release_id bigint, content string")
     got = {r["file_path"]: r for r in vendored.not_hand_written(df, rel).collect()}
     kinds = {p: [k for k in ("generated", "minified", "data", "vendored") if r[k]] for p, r in got.items()}
-    assert kinds == {"/ws/r0/lib/copy.js": ["vendored"], **{f"/ws/r{i}/x/spread.js": ["vendored"] for i in range(2, 5)}, "/ws/r5/a.js": ["generated"], "/ws/r5/b.js": ["generated"], "/ws/r5/c.js": ["minified"], "/ws/r5/d.js": ["data"]}
+    assert kinds == {"/ws/r0/lib/copy.js": ["vendored"], **{f"/ws/r{i}/x/spread.js": ["vendored"] for i in range(2, 5)}, "/ws/r5/a.js": ["generated"], "/ws/r5/b.js": ["generated"], "/ws/r5/c.js": ["minified"], "/ws/r5/d.js": ["data"], "/ws/r7/order.pb.go": ["generated"]}
     assert vendored.not_hand_written(df.limit(0), rel.limit(0)).count() == 0
 
 
