@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from strataloom.session import stage_table
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 0.02
+# Characters of a value beyond which it isn't trained on, so that the driver's sample stays bounded; it is judged whole all the same.
+TRAINED = 4_000
 
 # Words beside a value: of secrets, of things that aren't, and of schemes.
 SECRET = {"password", "passwort", "passwd", "pass", "pwd", "passphrase", "secret", "token", "key", "apikey", "auth", "authorization", "credential", "credentials", "creds", "cred", "sig", "signature", "psk", "dsn"}
@@ -46,26 +48,29 @@ _KNOWN = re.compile(
 _HASHLIKE = re.compile(r"(?i)^(?:sha\d+-.*|sha\d*:.*|md5[-:].*|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")
 _HEX = re.compile(r"(?i)^[0-9a-f]{24,}$")
 
-_QUOTED = r"'(?:[^'\\\n]|\\.){0,400}?'|\"(?:[^\"\\\n]|\\.){0,400}?\"|`[^`\\\n$]{0,400}?`"
-_FIND = re.compile(
-    rf"""(?x)
+_QUOTED = r"'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\"|`[^`\\\n$]*+`"
+_STRING, _GLUE, _LISTED = re.compile(_QUOTED), re.compile(r"\s*+[+,.]?\s*+(?:\\\n\s*+)?"), re.compile(r"\s*\]\s*\.(?:concat|join)")
+_TAIL = re.compile(r"\s*(?:\]\s*\.(?:concat|join)|[;,)\]}\n]|$)")
+# Quotes, and passwords in addresses, are only begun by the pattern; ``_matches`` follows them to their end in linear time.
+_OTHERS = r"""
     (?P<block>-----BEGIN[ ][A-Z0-9 ]+-----)
-    |(?P<login>(?:-u|--user)[ =]+['"]?[\w.@\-]+:(?P<lval>[^\s'"]{{4,}}))
-    |(?P<userinfo>(?<![\w+.\-])[a-zA-Z][\w+.\-]{{0,40}}://[^\s:/@'"`<>]{{0,120}}:(?P<pw>[^\s@'"`]{{1,300}}?)@)
-    |(?P<param>[?&](?P<pname>[A-Za-z_][\w\-.]*)=(?P<pval>[^&\s'"`<>)\]]{{6,}}))
-    |(?P<scheme>(?i:\b(?:bearer|basic|digest|token|apikey))[ ]+(?P<sval>[A-Za-z0-9+/=._~\-]{{8,}}))
-    |(?P<joined>(?:{_QUOTED})(?:\s{{0,40}}(?:\+|,|\.)?\s{{0,40}}(?:\\\n\s{{0,40}})?(?:{_QUOTED}))+(?=\s{{0,40}}(?:\]\s*\.(?:concat|join)|[;,)\]}}\n]|$)))
-    |(?P<quoted>{_QUOTED})
-    |(?P<said>(?i:\b(?:pass(?:word|phrase|code)|passwort|kennwort|contraseña|mot\ de\ passe|secret|token|api[- ]key|key|pin))[ ]+(?:(?i:is|was|of|ist|=|:)[ ]+)?(?P<said_val>(?![^\s]*[^!-~\s])[^\s'"`]{{6,}}))
-    |(?P<set>(?<![\w.\-])(?P<sname>[A-Za-z_][\w.\-]{{0,80}})[ \t]{{0,20}}(?:=|:=|:)[ \t]*(?P<setval>(?!//|\d+/|(?i:bearer|basic|token|apikey)\b)[^\s&'"`,;(){{}}\[\]<>][^\s'"`,;(){{}}<>]{{5,}})(?=[\s;,]|$))
-    |(?P<word>(?<![\w/+=.\-])(?=[\w+/=\-]*\d)(?=[\w+/=\-]*[A-Za-z])[A-Za-z0-9/+][\w+/=.\-]{{15,}})
-    """
-)
+    |(?P<login>(?:-u|--user)[ =]+['"]?[\w.@\-]+:(?P<lval>[^\s'"]{4,}))
+    |@userinfo@(?P<param>[?&](?P<pname>[A-Za-z_][\w\-.]*)=(?P<pval>[^&\s'"`<>)\]]{6,}))
+    |(?P<scheme>(?i:\b(?:bearer|basic|digest|token|apikey))[ ]+(?P<sval>[A-Za-z0-9+/=._~\-]{8,}))
+    |(?P<quoted>['"`])
+    |(?P<said>(?i:\b(?:pass(?:word|phrase|code)|passwort|kennwort|contraseña|mot\ de\ passe|secret|token|api[- ]key|key|pin))[ ]+(?:(?i:is|was|of|ist|=|:)[ ]+)?(?P<said_val>(?![^\s]*[^!-~\s])[^\s'"`]{6,}))
+    |(?P<set>(?<![\w.\-])(?P<sname>[A-Za-z_][\w.\-]*+)[ \t]*+(?:=|:=|:)[ \t]*(?P<setval>(?!//|\d+/|(?i:bearer|basic|token|apikey)\b)[^\s&'"`,;(){}\[\]<>][^\s'"`,;(){}<>]{5,})(?=[\s;,]|$))
+    |(?P<word>(?<![\w/+=.\-])(?=[\w+/=\-]*\d)(?=[\w+/=\-]*[A-Za-z])[A-Za-z0-9/+][\w+/=.\-]{15,})
+"""
+_FIND = re.compile("(?x)" + _OTHERS.replace("@userinfo@", """(?P<userinfo>(?<![\\w+.\\-])[a-zA-Z][\\w+.\\-]*+://[^\\s:/@'"`<>]*+:(?=[^\\s@'"`]))|"""))
+_NO_URL = re.compile("(?x)" + _OTHERS.replace("@userinfo@", ""))
+_PW_END = re.compile(r"[\s@'\"`]|\Z")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _PEM_BODY = re.compile(r"(?:\\n|[\s'\"`+,\\])*(?:[\w-]+: [^\n]*\n\s*)*((?:[A-Za-z0-9+/=]{16,}(?:\\n|[\s'\"`+,\\])*)+)")
-_KINDS = ("block", "login", "userinfo", "param", "scheme", "joined", "quoted", "said", "set", "word")
+_KINDS = ("block", "login", "userinfo", "param", "scheme", "quoted", "said", "set", "word")
 _TARGET = re.compile(r"([A-Za-z_$][\w$.\-]*)['\"`]?\]?\s*(?:\??:\s*[\w<>\[\]&' |.]+?)?\s*(?::=|=>|===?|[=:(,]|\|\||\?\?|\bor\b)\s*(?:&|b|r|f|String::from\(|\[)?\s*$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_DATA, _DATA_LEFT = re.compile(r"(?i)data:[\w+.\-]+/[\w+.\-]+[;,]"), re.compile(r"(?i)data:[\w+.\-]+/[\w+.\-]+(?:;[\w=.\-]+)*,$")
 _PUBLIC = re.compile(r"(?i)example\.(?:com|org)|localhost\b")
 
 
@@ -73,25 +78,75 @@ def words_of(name: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(name)]
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, value, words left of it) of every candidate, in order."""
-    out, at = [], 0
+def _matches(text: str):
+    """(match, kind, start, end, spans of the quoted parts) in order; for a password in an address, its own start and end.
+
+    Linear: each end of a password and each chain of quoted parts is looked for once.
+    """
+    at, pw_end, no_close, single = 0, -1, {}, set()
     while m := _FIND.search(text, at):
-        at = max(m.end(), at + 1)
-        kind = next(k for k in _KINDS if m.group(k) is not None)
+        kind = next(k for k in _KINDS if k in m.re.groupindex and m.group(k) is not None)
+        if kind == "userinfo":
+            if pw_end < m.end():
+                pw_end = _PW_END.search(text, m.end()).start()
+            if text[pw_end : pw_end + 1] == "@":
+                yield m, kind, m.end(), pw_end, []
+                at = pw_end + 1
+                continue
+            a, m = m.start(), _NO_URL.match(text, m.start())
+            if not m:
+                at = a + 1
+                continue
+            kind = next(k for k in _KINDS if k != "userinfo" and m.group(k) is not None)
         a, b = m.span()
-        line = text.rfind("\n", 0, a) + 1
+        if kind != "quoted":
+            yield m, kind, a, b, []
+            at = max(b, a + 1)
+            continue
+        parts, good = [], 0
+        while text[a : a + 1] in ("'", '"', "`") and a < len(text):
+            sign = text[a]
+            if a < no_close.get(sign, -1):  # this line has no further closing one
+                break
+            m2 = _STRING.match(text, a)
+            if not m2:
+                stop = text.find("\n", a)
+                if sign != "`":
+                    no_close[sign] = len(text) if stop < 0 else stop
+                break
+            parts.append(m2.span())
+            if parts[0][0] in single:
+                break
+            if _TAIL.match(text, m2.end()):
+                good = len(parts)
+            a = _GLUE.match(text, m2.end()).end()
+        if not parts:
+            at = b
+            continue
+        if len(parts) > 1:  # parts behind the last good end are on their own
+            single.update(x for x, _ in parts[max(good, 1) :])
+        parts = parts[: good if good > 1 else 1]
+        yield m, "joined" if len(parts) > 1 else "quoted", parts[0][0], parts[-1][1], parts
+        at = parts[-1][1]
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, value, words left of it) of every candidate, in order."""
+    out, past = [], 0
+    for m, kind, a, b, parts in _matches(text):
+        if a < past:
+            continue
         if kind == "block":  # of any sort, since its lines are no words; only private keys count
             body = _PEM_BODY.match(text, b)
             if body:
                 end = _PEM_END.match(text, body.end())
-                at = end.end() if end else body.end()
+                past = end.end() if end else body.end()
                 if "PRIVATE KEY" in m.group():
-                    out.append((a, at, kind, "".join(body.group(1).split())[:400], ""))
+                    out.append((a, past, kind, "".join(body.group(1).split()), ""))
             continue
-        left = text[max(line, a - 80) : a]
+        left = text[max(0, a - 80) : a].rpartition("\n")[2]
         if kind == "userinfo":
-            out.append((m.start("pw"), m.end("pw"), kind, m.group("pw"), "url"))
+            out.append((a, b, kind, text[a:b], "url"))
         elif kind == "login":
             out.append((m.start("lval"), m.end("lval"), kind, m.group("lval"), "login password"))
         elif kind == "param":
@@ -113,20 +168,17 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
                 name = "env " + name
             # A default of a lookup belongs to the looked-up name: get('X_KEY', 'value').
             if kind == "joined":
-                parts = re.findall(_QUOTED, m.group())
-                glue = re.sub(_QUOTED, "", m.group())
-                if "+" in glue or re.match(r"\s*\]\s*\.(?:concat|join)", text[b:]) or not glue.strip(" \t\n\\"):
-                    value = "".join(p[1:-1] for p in parts)
+                glue = "".join(text[x:y] for (_, x), (y, _) in zip(parts, parts[1:]))
+                if "+" in glue or _LISTED.match(text, b) or not glue.strip(" \t\n\\"):
+                    value = "".join(text[x + 1 : y - 1] for x, y in parts)
                     out += _inner(text, a, b, kind, value, name)
                 else:
-                    pos, prior = a, name
-                    for p in parts:
-                        pos = text.index(p, pos)
-                        out += _inner(text, pos, pos + len(p), "quoted", p[1:-1], prior if prior == name else name + " " + prior)
-                        prior = p[1:-1]
-                        pos += len(p)
+                    prior = name
+                    for x, y in parts:
+                        out += _inner(text, x, y, "quoted", text[x + 1 : y - 1], prior if prior == name else name + " " + prior)
+                        prior = text[x + 1 : y - 1]
             else:
-                out += _inner(text, a, b, kind, m.group()[1:-1], name)
+                out += _inner(text, a, b, kind, text[a + 1 : b - 1], name)
     return out
 
 
@@ -135,11 +187,12 @@ def _inner(text: str, a: int, b: int, kind: str, value: str, name: str):
     if len(value) < 4:
         return
     if kind == "quoted" and ("://" in value or " " in value.strip() or "=" in value[:-2]):
-        for m in _FIND.finditer(value):
-            k = next(k for k in _KINDS if m.group(k) is not None)
-            group, label = {"login": ("lval", "login password"), "userinfo": ("pw", "url"), "param": ("pval", m.group("pname") or ""), "scheme": ("sval", "auth " + name), "said": ("said_val", "password"), "set": ("setval", (m.group("sname") or "") + " " + name), "word": ("word", name)}.get(k, (None, ""))
+        for m, k, x, y, _ in _matches(value):
+            group, label = {"login": ("lval", "login password"), "param": ("pval", k == "param" and m.group("pname") or ""), "scheme": ("sval", "auth " + name), "said": ("said_val", "password"), "set": ("setval", (k == "set" and m.group("sname") or "") + " " + name), "word": ("word", name)}.get(k, (None, "url"))
             if group:
-                yield a + 1 + m.start(group), a + 1 + m.end(group), k, m.group(group), label
+                x, y = m.span(group)
+            if group or k == "userinfo":
+                yield a + 1 + x, a + 1 + y, k, value[x:y], label
         if "://" in value or "=" not in value:
             return
     if not any(c.isspace() for c in value):
@@ -221,8 +274,8 @@ def features(kind: str, value: str, label: str, path: str, markov: Markov) -> li
 
 
 def ruled_out(kind: str, value: str, label: str) -> bool:
-    """Exact check after the score: stand-ins, hashes, looked-up names, and blobs of data are no credentials."""
-    return bool(_STAND_IN.match(value) or _HASHLIKE.match(value) or label.startswith("env ") or len(value) > 300 and kind != "block" and not _KNOWN.match(value))
+    """Exact check after the score: stand-ins, hashes, looked-up names, and data addresses are no credentials."""
+    return bool(_STAND_IN.match(value) or _HASHLIKE.match(value) or label.startswith("env ") or _DATA.match(value) or _DATA_LEFT.search(label))
 
 
 def weak_label(kind: str, value: str, label: str) -> int | None:
@@ -319,7 +372,7 @@ def _extract(batches):
             for a, _, kind, value, label in candidates(text):
                 line += text.count("\n", seen, a)
                 seen = a
-                rows.append((None, None, i, line, kind, value[:400], label[:120], path or "", None))
+                rows.append((None, None, i, line, kind, value, label, path or "", None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, schema.types)], schema=schema)
     some = np.flatnonzero(counts)
     none = [None] * len(some)
@@ -335,7 +388,7 @@ def learn(chunks: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     found = seen.where("pair is null").select("id", "line_no", "kind", "value", "label", "path")
     # Two samples, of candidates beside a secret's word or place and of the others, by hash: at most ``sample`` rows.
     rare = F.col("kind").isin("block", "userinfo", "login", "scheme", "param", "said") | F.lower("label").rlike("pass|pwd|secret|token|key|auth|cred|works|rotate|login")
-    picked = found.select("kind", "value", "label", "path").distinct()
+    picked = found.where(F.length("value") + F.length("label") <= TRAINED).select("kind", "value", "label", "path").distinct()
     rows = []
     for side in (picked.where(rare), picked.where(~rare)):
         rows += [tuple(r)[:4] for r in side.withColumn("h", F.xxhash64("kind", "value", "label", "path")).orderBy("h").limit(sample // 2).collect()]
@@ -358,7 +411,7 @@ def find(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD)
 def mask(text: str, path: str, model: Model, threshold: float) -> str:
     """``text`` with the characters of found values replaced by asterisks; line ends, quotes and length stay."""
     found = candidates(text)
-    score = model.score([(k, v[:400], w[:120], path) for _, _, k, v, w in found])
+    score = model.score([(k, v, w, path) for _, _, k, v, w in found])
     out = list(text)
     for (a, b, kind, _, _), s in zip(found, score):
         if s >= threshold:
