@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
 
@@ -65,8 +66,35 @@ _OTHERS = r"""
 _FIND = re.compile("(?x)" + _OTHERS.replace("@userinfo@", """(?P<userinfo>(?<![\\w+.\\-])[a-zA-Z][\\w+.\\-]*+://[^\\s:/@'"`<>]*+:(?=[^\\s@'"`]))|"""))
 _NO_URL = re.compile("(?x)" + _OTHERS.replace("@userinfo@", ""))
 _PW_END = re.compile(r"[\s@'\"`]|\Z")
-_PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
-_PEM_BODY = re.compile(r"(?:\\n|[\s'\"`+,\\])*(?:[\w-]+: [^\n]*\n\s*)*((?:[A-Za-z0-9+/=]{16,}(?:\\n|[\s'\"`+,\\])*)+)")
+# A key's lines may stand in quotes put together, in lists, and behind comment marks: the gaps between runs of base64.
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+_GAP = r"""(?:\\++[nrt]?|[\s'"`,.\#*;>%|!]|SLASH|\+(?=\s*+(?:[bBrRuUfF]{1,2})?['"`])|-(?=[A-Za-z0-9+/]|-----END)|[bBrRuUfF]{1,2}(?=['"]))"""
+_RUN = r"[A-Za-z0-9+/=]"
+
+
+def _key_patterns(slash: str):
+    """The body of a key block up to its END line, or without one as far as long runs go; and its pieces. ``slash``: how // begins a comment."""
+    gap = _GAP.replace("SLASH", slash)
+    head = rf"(?:{gap}*+[A-Za-z][\w-]*+:[ ][^\n\\'\"`]*+)*+{gap}*+"
+    end = r"-----END [A-Z0-9 ]+-----"
+    body = rf"{head}(?P<body>{_RUN}{{16,}}+(?:{gap}++{_RUN}++)*+{gap}*+){end}|{head}(?P<open>{_RUN}{{16,}}+(?:{gap}++{_RUN}{{16,}}+)*+(?:{gap}++{_RUN}++\Z)?)"
+    return re.compile(body), re.compile(rf"{gap}|(?P<run>{_RUN}++)")
+
+
+_KEY = {False: _key_patterns(r"//++(?=[ \t\r\n])"), True: _key_patterns("//++")}
+_CLOSING = re.compile(r"(?:\\+[nr])*['\"`]?")
+
+
+def _key(text: str, m: re.Match) -> tuple[int, int, list[tuple[int, int]]] | None:
+    """(start, end, spans of base64) of the key block that begins with ``m``; None where no key follows."""
+    left = text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+    body, pieces = _KEY[left.endswith("//")]
+    found = body.match(text, m.end())
+    if not found:
+        return None
+    return m.start(), found.end(), [p.span("run") for p in pieces.finditer(text, *found.span(found.lastgroup)) if p.group("run")]
+
+
 _KINDS = ("block", "login", "userinfo", "param", "scheme", "quoted", "said", "set", "word")
 _TARGET = re.compile(r"([A-Za-z_$][\w$.\-]*)['\"`]?\]?\s*(?:\??:\s*[\w<>\[\]&' |.]+?)?\s*(?::=|=>|===?|[=:(,]|\|\||\?\?|\bor\b)\s*(?:&|b|r|f|String::from\(|\[)?\s*$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -79,11 +107,15 @@ def words_of(name: str) -> list[str]:
 
 
 def _matches(text: str):
-    """(match, kind, start, end, spans of the quoted parts) in order; for a password in an address, its own start and end.
+    """(match, kind, start, end, spans of the quoted parts or of a key's base64) in order; for a password in an address, its own start and end.
 
     Linear: each end of a password and each chain of quoted parts is looked for once.
     """
-    at, pw_end, no_close, single = 0, -1, {}, set()
+    at, pw_end, no_close, single, keys = 0, -1, {}, set(), {}
+    for m in _BEGIN.finditer(text):
+        if key := _key(text, m):
+            keys[m.start()] = key
+    order = sorted(keys)
     while m := _FIND.search(text, at):
         kind = next(k for k in _KINDS if k in m.re.groupindex and m.group(k) is not None)
         if kind == "userinfo":
@@ -99,6 +131,11 @@ def _matches(text: str):
                 continue
             kind = next(k for k in _KINDS if k != "userinfo" and m.group(k) is not None)
         a, b = m.span()
+        if kind == "block":
+            key = keys.get(a)
+            yield m, kind, a, key[1] if key else b, key[2] if key else []
+            at = _CLOSING.match(text, key[1]).end() if key else b
+            continue
         if kind != "quoted":
             yield m, kind, a, b, []
             at = max(b, a + 1)
@@ -114,6 +151,9 @@ def _matches(text: str):
                 if sign != "`":
                     no_close[sign] = len(text) if stop < 0 else stop
                 break
+            k = bisect.bisect(order, a)
+            if k < len(order) and order[k] < m2.end():  # it holds a key, which is read as such
+                break
             parts.append(m2.span())
             if parts[0][0] in single:
                 break
@@ -132,17 +172,11 @@ def _matches(text: str):
 
 def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, value, words left of it) of every candidate, in order."""
-    out, past = [], 0
+    out = []
     for m, kind, a, b, parts in _matches(text):
-        if a < past:
-            continue
         if kind == "block":  # of any sort, since its lines are no words; only private keys count
-            body = _PEM_BODY.match(text, b)
-            if body:
-                end = _PEM_END.match(text, body.end())
-                past = end.end() if end else body.end()
-                if "PRIVATE KEY" in m.group():
-                    out.append((a, past, kind, "".join(body.group(1).split()), ""))
+            if parts and "PRIVATE KEY" in m.group():
+                out.append((a, b, kind, "".join(text[x:y] for x, y in parts), ""))
             continue
         left = text[max(0, a - 80) : a].rpartition("\n")[2]
         if kind == "userinfo":
@@ -415,12 +449,14 @@ def mask(text: str, path: str, model: Model, threshold: float) -> str:
     out = list(text)
     for (a, b, kind, _, _), s in zip(found, score):
         if s >= threshold:
-            if kind == "block":  # keep the frame lines
-                a, b = a + text[a:b].index("KEY") + 8, a + (text[a:b].rfind("-----END") if "-----END" in text[a:b] else b - a)
-            inside = re.finditer(_QUOTED, text[a:b]) if kind == "joined" else [re.match(r".*", text[a:b], re.S)]
-            for m in inside:
-                lo, hi = m.span()
-                for i in range(a + lo + (kind == "joined"), a + hi - (kind == "joined")):
+            if kind == "block":  # keep the frame lines, and what stands around the base64
+                spans = _key(text, _BEGIN.match(text, a))[2]
+            elif kind == "joined":
+                spans = [(a + m.start() + 1, a + m.end() - 1) for m in _STRING.finditer(text[a:b])]
+            else:
+                spans = [(a, b)]
+            for lo, hi in spans:
+                for i in range(lo, hi):
                     if out[i] not in "\r\n":
                         out[i] = "*"
     return "".join(out)
