@@ -26,6 +26,8 @@ _NOT_CALLS = {
     "rs": set("if for while match loop return fn in as let impl where pub move unsafe async await mut ref else use mod struct enum dyn".split()),
 }
 _MODIFIERS = set("async static get set public private protected readonly override abstract accessor declare".split())
+# Words that begin another statement, so that a head has ended before them.
+_STATEMENTS = set("export import const let var function class interface enum return if for while switch try throw".split())
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -95,17 +97,20 @@ def _pairs(toks: list) -> dict[int, int]:
     return out
 
 
-def _body(toks, pairs, i, limit=400):
-    """Index of the brace that opens a body after a closing parenthesis at i, past a return type; else None."""
-    j, steps = i + 1, 0
-    while j < len(toks) and steps < limit:
+def _body(toks, pairs, i):
+    """Index of the brace that opens a body after a closing parenthesis at i, past a return type of any length; else None."""
+    j = i + 1
+    if j < len(toks) and toks[j][1] not in ("{", ":"):
+        return None
+    while j < len(toks):
         word = toks[j][1]
+        if word in _STATEMENTS and word != "import":  # import('x').T is a type
+            return None
         if word == "{" and not (toks[j - 1][1] in (":", "|", "&", "<", ",") and pairs.get(j) is not None):
             return j if j in pairs else None
         if word in (";", "}", ")", "=>") or toks[j][0] == "op" and word in ("=", ",") and toks[j - 1][1] != "<":
             return None
         j = pairs.get(j, j) + 1 if word in _OPEN else j + 1
-        steps += 1
     return None
 
 
@@ -139,12 +144,12 @@ def _braces(text: str, lang: str) -> Scan:
             depth += (w in _OPEN) - (w in _CLOSE)
         if lang == "ts" and kind == "id":
             if w == "import" and word(i + 1) != "(" and word(i - 1) != ".":
-                for j in range(i + 1, min(i + 400, len(toks))):
+                j = i + 1
+                while j < len(toks) and word(j) not in (";", "=", "(", "import"):
                     if toks[j][0] == "str":
                         scan.imports.append(toks[j][1][1:-1])
                         break
-                    if word(j) in (";", "=", "("):
-                        break
+                    j = pairs.get(j, j) + 1 if word(j) == "{" else j + 1
             elif w == "class" and word(i - 1) not in (".", "=", "(", ",", "return", ":", "=>", "?"):
                 j = i + 1
                 while j < len(toks) and word(j) != "{" and word(j) != ";":
@@ -175,16 +180,16 @@ def _braces(text: str, lang: str) -> Scan:
                 if word(p) == "<":
                     while q < len(toks) and word(q) != "(":
                         q += 1
-                q = pairs.get(q, q)
-                while q < len(toks) and word(q) not in ("=>", ";", "=") and q - p < 200 and word(j) == "=":
+                q = pairs.get(q, q) + 1 if word(q) in _OPEN else q
+                while q < len(toks) and word(q) not in ("=>", ";", "=") and word(q) not in _STATEMENTS - {"import"} and word(j) == "=":
                     q = pairs.get(q, q) + 1 if word(q) in _OPEN else q + 1
                 if word(j) == "=" and word(q) == "=>" and (word(p) in ("(", "<") or toks[p][0] == "id") and word(s - 1) == "=":
                     last = pairs.get(q + 1) if word(q + 1) == "{" else _expression_end(toks, pairs, q + 1)
                     if last is not None:
                         add("function", None, s, min(last, len(toks) - 1))
             if word(i + 1) == "(" and i + 1 in pairs and lang == "ts" and (w not in _NOT_CALLS["ts"] or w in ("catch", "delete")) and word(i - 1) not in ("function", "new", ".", "?.", "*") or w == "constructor" and word(i + 1) == "(" and i + 1 in pairs:
-                b = _body(toks, pairs, pairs[i + 1])
-                if b is not None and word(i - 1) in ("{", "}", ";", ",", "*", "") or b is not None and word(i - 1) in _MODIFIERS:
+                b = _body(toks, pairs, pairs[i + 1]) if word(i - 1) in ("{", "}", ";", ",", "*", "") or word(i - 1) in _MODIFIERS else None
+                if b is not None:
                     if i not in defined and w not in ("if", "for", "while", "switch", "catch", "with"):
                         first = i
                         while word(first - 1) in _MODIFIERS or word(first - 1) == "*":
