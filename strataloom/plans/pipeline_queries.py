@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import ann, embed, search
-from strataloom.plans.core_queries import query_vector
 from strataloom.session import table
 from strataloom.sources import files
 
@@ -48,10 +47,15 @@ def embed_pipeline(spark, root):
 
 @_query
 def ann_topk(spark, root):
-    """Top 20 through the cluster index, with whether exact search finds them too."""
-    rows, q = table(spark, root, "embeddings"), query_vector(spark, root)
-    exact = search.vector_topk(rows, "embedding", q, 20, "vec_id").select("vec_id", F.lit(True).alias("exact"))
+    """Top 20 through the cluster index of every row whose id is divisible by 50, with whether exact search finds them too.
+
+    An exact row that the index misses has a null ``rank``, so recall is the share of ranked rows among the exact ones.
+    """
+    rows = table(spark, root, "embeddings")
+    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    exact = search.vector_topk_batch(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), q, 20).select("qid", F.col("id").alias("vec_id"), "rank")
     built = ann.build(rows, "embedding", 16)
     if built is None:
-        return exact
-    return ann.search(*built, "embedding", q, 20, 8, "vec_id").select("vec_id").join(exact, "vec_id", "left").select("vec_id", F.coalesce("exact", F.lit(False)).alias("exact"))
+        return exact.withColumn("exact", F.lit(True))
+    found = ann.search_batch(*built, "embedding", q, 20, 8, "vec_id").select("qid", "vec_id", "rank")
+    return found.join(exact.select("qid", "vec_id", F.lit(True).alias("exact")), ["qid", "vec_id"], "full").select("qid", "vec_id", "rank", F.coalesce("exact", F.lit(False)).alias("exact"))
