@@ -78,7 +78,7 @@ def fingerprints(text: str) -> np.ndarray:
 def notice(text: str) -> bool:
     """Whether the opening comment holds a line in the form of a tool's notice."""
     head = _HEAD.match(text)
-    return bool(head) and any(_NOTICE.search(line.strip(" \t\r/*#<!->\"'")) for line in head.group().split("\n")[:30])
+    return bool(head) and any(_NOTICE.search(line.strip(" \t\r/*#<!->\"'")) for line in head.group().split("\n"))
 
 
 def numbered_shapes(text: str, path: str = "") -> bool:
