@@ -17,7 +17,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set up only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one is set up on a local master; a cluster must name one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,23 +26,46 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     have = sc._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get()
 
 
+_STAGED: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: the lineage ends here and executors may be lost."""
+    """Writes ``df`` once to the shared folder and reads it back: the lineage ends here and executors may be lost.
+
+    The shuffle files of the write go with it. The table stays until ``release`` or the driver's end, since a result may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished stages
+    if not _STAGED:
+        atexit.register(release, spark)
+    _STAGED.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables staged so far, once the results that read them are written; gives their number."""
+    n = len(_STAGED)
+    while _STAGED:
+        _drop(spark, _STAGED.pop())
+    return n
+
+
 def _drop(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table when the driver ends, if its JVM still runs."""
+    """Deletes a staged table, if the session's JVM still runs."""
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
