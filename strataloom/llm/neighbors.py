@@ -1,29 +1,40 @@
-"""The k most similar vectors of every vector, exactly, by a block matrix join.
+"""The k most similar vectors of every vector by a block matrix join over clusters.
 
 Equal vectors form one class (its k + 1 smallest ids stand for it: with ties going to smaller ids, no other of its ids can
-be among any k nearest). Classes are put into blocks of a fixed size; each pair of blocks is one task. A tile of the
-products of int8 codes gives every cosine up to an error bound; only pairs that the bound lets into a row's best so far are
-computed from the floats. Codes are multiplied with their scales as float32, since numpy has no fast int8 product; the
-rounding of that is part of the bound. Each row keeps a bounded list of its best, and those of all block pairs are merged.
-
-Work is quadratic in the number of distinct vectors, memory and messages are not: a task holds two blocks, and each class
-sends k + 1 entries a block pair.
-
-Defined results: vectors that are null, all zero, hold a null or NaN or have another length are left out; an id's rows
-have one vector (any non-null one is taken); fewer than k + 1 ids give all pairs there are; an empty table gives no rows.
+be among any k nearest). Classes are ordered by cluster (spherical k-means on at most ``SAMPLE`` classes; every class is
+assigned) and put into blocks of about ``block_rows``: several small clusters, or a part of a large one. A class meets all
+classes of its own block and those of the ``probes`` clusters nearest to it; what it meets is found for both sides. A tile
+of integer products of int8 codes (exact in float32) gives every cosine up to an error bound; only pairs that the bound
+lets into a row's best so far are computed from the floats. Each task keeps a bounded sorted list a row, merged at the end:
+rows of one tile come in at once, for which a sorted merge in numpy is faster than a heap a row.
+
+A block sends a class once to each block it probes, with its bar, so messages are at most ``probes`` copies of the data;
+a block that very many classes visit is joined in slices. There are about sqrt(classes) / 7 clusters, so the products grow as the
+classes to the power 1.5. Up to ``probes`` clusters (about 7,000 classes) the result is exact; ``probes=None`` is exact always, at
+quadratic work.
+
+Defined results: vectors that are null, all zero, hold a null or NaN or have another length are left out; of an id with
+several vectors the smallest is taken; fewer than k + 1 ids give all pairs there are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import stage_table
 
 ROWS, COLS = 512, 2048  # a tile that stays in the cache
-SLACK = 1e-5  # of float32 scales and sums
+SLACK = 1e-5  # of the float32 scaling of a tile
+PROBES = 12
+SAMPLE, ROUNDS = 65_536, 8  # classes that the clusters are fitted on, and rounds of that
+CLUSTERS = 2_048  # most clusters; beyond, clusters grow
+VISITORS = 131_072  # visiting classes of a block that one task takes
+SALTS = 8
 
 
 def _units(flat: np.ndarray) -> np.ndarray:
@@ -32,15 +43,28 @@ def _units(flat: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """int8 codes of unit vectors, as float32 for the product, with their scale and the norm of what they miss."""
+    """int8 codes of unit vectors, with their scale and the norm of what they miss."""
 
     def __init__(self, units: np.ndarray):
         self.scale = np.abs(units).max(axis=1) / 127.0
-        self.code = np.rint(units / self.scale[:, None])
-        near = self.code * self.scale[:, None]
+        code = np.rint(units / self.scale[:, None])
+        near = code * self.scale[:, None]
         self.miss = np.sqrt(((units - near) ** 2).sum(axis=1))
         self.size = np.sqrt((near**2).sum(axis=1))
-        self.code = self.code.astype(np.int8)
+        self.code = code.astype(np.int8)
+
+    def take(self, rows: np.ndarray) -> Codes:
+        some = object.__new__(Codes)
+        some.scale, some.miss, some.size, some.code = self.scale[rows], self.miss[rows], self.size[rows], self.code[rows]
+        return some
+
+
+def products(a: Codes, rows: slice, b: Codes, cols: slice) -> np.ndarray:
+    """Cosines of the coded vectors: integer products (up to 127 x 127 x length, exact in float32 below 2^24), then scaled."""
+    tile = a.code[rows].astype(np.float32) @ b.code[cols].astype(np.float32).T
+    tile *= a.scale[rows].astype(np.float32)[:, None]
+    tile *= b.scale[cols].astype(np.float32)[None, :]
+    return tile
 
 
 class Best:
@@ -84,17 +108,18 @@ def _exact(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray):
 def own_best(a: np.ndarray, ids: np.ndarray, keep: int) -> Best:
     """Best of each row of a block among the others of the block."""
     c, best, n = Codes(a), Best(len(a), keep), len(a)
-    f = c.code.astype(np.float32) * c.scale[:, None].astype(np.float32)
     for lo in range(0, n, ROWS):
         hi = min(lo + ROWS, n)
-        for left in range(0, n, COLS):
+        # The first tile is the one around the rows themselves: rows of a block are in the order of their clusters.
+        lefts = sorted(range(0, n, COLS), key=lambda left: (not left <= lo < left + COLS, left))
+        for nth, left in enumerate(lefts):
             right = min(left + COLS, n)
-            tile = f[lo:hi] @ f[left:right].T
+            tile = products(c, slice(lo, hi), c, slice(left, right))
             both = np.arange(max(lo, left), min(hi, right))
             tile[both - lo, both - left] = -2
             off = c.miss[lo:hi] + c.size[lo:hi] * c.miss[left:right].max() + SLACK
-            if left == 0 and right - left > keep:
-                best.bar[lo:hi] = np.partition(tile, right - keep, axis=1)[:, right - keep] - off
+            if nth == 0 and right - left > keep:
+                best.bar[lo:hi] = np.partition(tile, right - left - keep, axis=1)[:, right - left - keep] - off
             flat = np.flatnonzero(tile >= (best.bar[lo:hi] - off).astype(np.float32)[:, None])
             x, y = np.divmod(flat, right - left)
             apart = x + lo != y + left
@@ -103,108 +128,250 @@ def own_best(a: np.ndarray, ids: np.ndarray, keep: int) -> Best:
     return best
 
 
-def cross_best(a: np.ndarray, ia: np.ndarray, bar_a: np.ndarray, b: np.ndarray, ib: np.ndarray, bar_b: np.ndarray, keep: int) -> tuple[Best, Best]:
-    """Best of each row of two blocks in the other block, as far as they reach the bars; each tile serves both."""
-    ca, cb = Codes(a), Codes(b)
-    best_a, best_b = Best(len(a), keep, bar_a), Best(len(b), keep, bar_b)
-    fa, fb = (c.code.astype(np.float32) * c.scale[:, None].astype(np.float32) for c in (ca, cb))
-    for lo in range(0, len(a), ROWS):
-        hi = min(lo + ROWS, len(a))
-        for left in range(0, len(b), COLS):
-            right = min(left + COLS, len(b))
-            tile = fa[lo:hi] @ fb[left:right].T
-            # |a.b - a'.b'| <= miss(a) + size(a') miss(b), here with the largest of the other side.
-            off_a = ca.miss[lo:hi] + ca.size[lo:hi] * cb.miss[left:right].max() + SLACK
-            off_b = cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + SLACK
-            hit = tile >= (best_a.bar[lo:hi] - off_a).astype(np.float32)[:, None]
-            hit |= tile >= (best_b.bar[left:right] - off_b).astype(np.float32)[None, :]
-            flat = np.flatnonzero(hit)
-            x, y = np.divmod(flat, right - left)
-            for i, j, sims in _exact(a, x + lo, b, y + left):
-                best_a.add(i, sims, ib[j])
-                best_b.add(j, sims, ia[i])
-    return best_a, best_b
-
-
-def _rows(ids: np.ndarray, best: Best) -> pd.DataFrame:
-    live = np.isfinite(best.sim).sum(axis=1)
-    some = np.flatnonzero(live)
-    return pd.DataFrame({"cls": ids[some], "sims": [best.sim[i, : live[i]] for i in some], "near": [best.who[i, : live[i]] for i in some]})
-
-
-def _pack(dim: int, keep: int, block_rows: int):
-    def pack(batches):
-        parts = [p for p in batches if len(p)]
-        if not parts:
-            return
-        pdf = pd.concat(parts)
-        for part in np.array_split(np.arange(len(pdf)), max(1, -(-len(pdf) // (block_rows + block_rows // 4)))):
-            rows = pdf.iloc[part]
-            ids, mat = rows["cls"].to_numpy(np.int64), np.asarray(rows["vec"].tolist(), dtype=np.float32).reshape(-1, dim)
-            best = own_best(_units(mat), ids, keep)
-            whole = best.sim[:, -1]
-            own = _rows(ids, best)
-            yield pd.DataFrame(
-                {"block": [int(ids[0])], "cls": [ids.tobytes()], "mat": [mat.tobytes()], "bar": [whole.tobytes()], "ids": [[{"cls": c, "ids": i, "vec": v if len(i) == keep else None} for c, i, v in zip(ids, rows["ids"], mat)]], "own": [own.to_dict("records")]}
-            )
-
-    return pack
-
-
-def _tiles(dim: int, keep: int):
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        mats = [_units(np.frombuffer(m, dtype=np.float32).reshape(-1, dim)) for m in pdf["mat"]]
-        ids = [np.frombuffer(c, dtype=np.int64) for c in pdf["cls"]]
-        bars = [np.frombuffer(c, dtype=np.float64) for c in pdf["bar"]]
-        return pd.concat([_rows(i, b) for i, b in zip(ids, cross_best(mats[0], ids[0], bars[0], mats[1], ids[1], bars[1], keep))])
-
-    return tile
-
-
-def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32768, small: int = 10_000) -> DataFrame:
+class Side:
+    """Rows of one side of a block pair: unit vectors, codes, class numbers, home clusters and probed clusters."""
+
+    def __init__(self, mat: np.ndarray, ids: np.ndarray, home: np.ndarray, probes: np.ndarray):
+        self.units, self.ids, self.home, self.probes = _units(mat), ids, home, probes
+        self.codes = Codes(self.units)
+
+
+def visit(a: Side, best_a: Best, b: Side, best_b: Best) -> None:
+    """Lets the rows of ``a`` meet the rows of ``b`` in the clusters they probe; a row of ``b`` learns of one only if it won't visit that one's cluster."""
+    for cluster in np.unique(b.home):
+        come = np.flatnonzero((a.probes == cluster).any(axis=1))
+        here = np.flatnonzero(b.home == cluster)
+        if not len(come):
+            continue
+        ca, cb = a.codes.take(come), b.codes.take(here)
+        for lo in range(0, len(come), ROWS):
+            hi = min(lo + ROWS, len(come))
+            rows = come[lo:hi]
+            for left in range(0, len(here), COLS):
+                right = min(left + COLS, len(here))
+                cols = here[left:right]
+                tile = products(ca, slice(lo, hi), cb, slice(left, right))
+                # |a.b - a'.b'| <= miss(a) + size(a') miss(b), here with the largest of the other side.
+                off_a = ca.miss[lo:hi] + ca.size[lo:hi] * cb.miss[left:right].max() + SLACK
+                off_b = cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + SLACK
+                hit = tile >= (best_a.bar[rows] - off_a).astype(np.float32)[:, None]
+                hit |= tile >= (best_b.bar[cols] - off_b).astype(np.float32)[None, :]
+                x, y = np.divmod(np.flatnonzero(hit), right - left)
+                for i, j, sims in _exact(a.units, rows[x], b.units, cols[y]):
+                    best_a.add(i, sims, b.ids[j])
+                    untold = ~(b.probes[j] == a.home[i][:, None]).any(axis=1)
+                    best_b.add(j[untold], sims[untold], a.ids[i[untold]])
+
+
+_BEST = pa.schema([("cls", pa.int64()), ("sims", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
+
+
+def _rows(ids: np.ndarray, best: Best) -> pa.Table:
+    """Rows whose list holds anything."""
+    live = np.isfinite(best.sim)
+    some = live.any(axis=1)
+    ends = pa.array(np.r_[0, np.cumsum(live[some].sum(axis=1))].astype(np.int32))
+    return pa.Table.from_arrays([pa.array(ids[some]), pa.ListArray.from_arrays(ends, pa.array(best.sim[some][live[some]])), pa.ListArray.from_arrays(ends, pa.array(best.who[some][live[some]]))], schema=_BEST)
+
+
+# --- clusters, and the layout of blocks
+
+
+def fit_centers(units: np.ndarray, clusters: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means from evenly taken rows; an empty cluster keeps its centre."""
+    c = units[np.linspace(0, len(units) - 1, clusters).astype(np.int64)].copy()
+    for _ in range(rounds if clusters > 1 else 0):
+        at = nearest_centers(units, c, 1)[:, 0]
+        total = np.zeros_like(c)
+        np.add.at(total, at, units)
+        size = np.sqrt((total**2).sum(axis=1))
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1e-300)[:, None], c)
+    return c
+
+
+def nearest_centers(units: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` centres nearest to each row, nearest first, equal ones by number."""
+    out = np.empty((len(units), n), dtype=np.int32)
+    for lo in range(0, len(units), 4096):
+        s = units[lo : lo + 4096] @ centers.T
+        if n < len(centers):
+            part = np.sort(np.argpartition(-s, n - 1, axis=1)[:, :n], axis=1)
+            out[lo : lo + 4096] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
+        else:
+            out[lo : lo + 4096] = np.argsort(-s, axis=1, kind="stable")
+    return out
+
+
+class Layout:
+    """Which blocks hold a cluster: one with its neighbours, or several parts of a large one; and the slices of each block's visitors."""
+
+    def __init__(self, centers: np.ndarray, homes: np.ndarray, visits: np.ndarray, block_rows: int, visitors: int):
+        self.centers = centers
+        self.first = np.zeros(len(centers), dtype=np.int64)
+        self.parts = np.maximum(1, -(-homes // block_rows))
+        order, left = [0], set(range(1, len(centers)))
+        while left:  # a chain of near centres, so that the clusters of a block are probed together
+            rest = np.array(sorted(left))
+            order.append(int(rest[np.argmax(centers[rest] @ centers[order[-1]])]))
+            left.remove(order[-1])
+        at, held, came, visited = 0, 0, 0, []
+        for c in order:
+            if held and held + homes[c] > block_rows:
+                visited.append(came)
+                at, held, came = at + 1, 0, 0
+            self.first[c] = at
+            if self.parts[c] > 1:
+                visited += [int(visits[c])] * int(self.parts[c])
+                at += int(self.parts[c])
+            else:
+                held, came = held + int(homes[c]), came + int(visits[c])
+        self.slices = np.maximum(1, -(-np.array([*visited, came, 0]) // visitors))
+
+    def home(self, cluster: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Block of each class."""
+        return self.first[cluster] + cls % self.parts[cluster]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+
+
+def _tally(centers: np.ndarray, probes: int, dim: int):
+    """Classes that live in each cluster, and that visit it."""
+
+    def run(batches):
+        homes, visits = np.zeros(len(centers), dtype=np.int64), np.zeros(len(centers), dtype=np.int64)
+        for batch in batches:
+            near = nearest_centers(_units(_matrix(batch.column(0), dim)), centers, probes)
+            homes += np.bincount(near[:, 0], minlength=len(centers))
+            visits += np.bincount(near.ravel(), minlength=len(centers))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers))), pa.array(homes), pa.array(visits)], ["c", "homes", "visits"])
+
+    return run
+
+
+def _assign(layout: Layout, probes: int, dim: int):
+    def run(batches):
+        for batch in batches:
+            mat, cls = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
+            near = nearest_centers(_units(mat), layout.centers, probes)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(mat), [None, pa.py_buffer(mat.tobytes())]).cast(pa.binary())
+            asked = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * probes), len(mat), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(layout.home(near[:, 0], cls)), pa.array(cls), packed, asked], ["block", "cls", "mat", "probes"])
+
+    return run
+
+
+def _joined(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+
+
+_MESSAGE = "target bigint, slice int, source bigint, cls binary, mat binary, bar binary, probes binary, sims binary, near binary"
+
+
+def _within(layout: Layout, probes: int, dim: int, keep: int):
+    """A block's own pairs; then one message to itself (a slice each) and one to each block that its rows probe."""
+
+    def run(block: pa.Table) -> pa.Table:
+        own = block.column("block")[0].as_py()
+        asked = _joined(block.column("probes"), np.int32, probes)
+        cls = block.column("cls").to_numpy()
+        order = np.lexsort((cls, asked[:, 0]))
+        cls, asked, mat = cls[order], asked[order], _joined(block.column("mat"), np.float32, dim)[order]
+        best = own_best(_units(mat), cls, keep)
+        bar = best.sim[:, -1]
+        out = [(own, s, own, cls.tobytes(), mat.tobytes(), bar.tobytes(), asked.tobytes(), best.sim.tobytes() if s == 0 else b"", best.who.tobytes() if s == 0 else b"") for s in range(int(layout.slices[own]))]
+        first, parts = layout.first[asked], layout.parts[asked]
+        for target in sorted({b for f, n in set(zip(first.ravel().tolist(), parts.ravel().tolist())) for b in range(f, f + n)} - {own}):
+            go = ((first <= target) & (target < first + parts)).any(axis=1)
+            out.append((target, own % int(layout.slices[target]), own, cls[go].tobytes(), mat[go].tobytes(), bar[go].tobytes(), asked[go].tobytes(), b"", b""))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in _MESSAGE.split(", ")])
+
+    return run
+
+
+def _between(probes: int, dim: int, keep: int):
+    """Best of the visitors of a block, and of the block's own rows."""
+
+    def side(m: dict) -> Side:
+        asked = np.frombuffer(m["probes"], dtype=np.int32).reshape(-1, probes)
+        return Side(np.frombuffer(m["mat"], dtype=np.float32).reshape(-1, dim), np.frombuffer(m["cls"], dtype=np.int64), asked[:, 0], asked)
+
+    def run(messages: pa.Table) -> pa.Table:
+        rows = sorted(messages.to_pylist(), key=lambda m: m["source"])
+        own = next((m for m in rows if m["source"] == m["target"]), None)
+        if own is None:  # a probed cluster in which no class lives
+            return _BEST.empty_table()
+        b, out = side(own), []
+        best_b = Best(len(b.ids), keep, np.frombuffer(own["bar"], dtype=np.float64))
+        for m in rows:
+            if m is not own:
+                a = side(m)
+                best_a = Best(len(a.ids), keep, np.frombuffer(m["bar"], dtype=np.float64))
+                visit(a, best_a, b, best_b)
+                out.append(_rows(a.ids, best_a))
+        out.append(_rows(b.ids, best_b))
+        if own["sims"]:
+            mine = Best(len(b.ids), keep)
+            mine.sim, mine.who = (np.frombuffer(own[k], dtype=t).reshape(-1, keep) for k, t in (("sims", np.float64), ("near", np.int64)))
+            out.append(_rows(b.ids, mine))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _layout(classes: DataFrame, dim: int, probes: int | None, clusters: int | None, block_rows: int) -> tuple[Layout, int]:
+    """Clusters fitted on a bounded sample, and the blocks for the counted classes; at most ``CLUSTERS`` rows of counts reach the driver."""
+    n = classes.count()
+    share = max(1, -(-n // SAMPLE))
+    drawn = classes.where(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).select("vec").limit(SAMPLE).toArrow()
+    units = _units(_matrix(drawn.column("vec"), dim)) if drawn.num_rows else np.eye(1, dim)
+    k = min(len(units), CLUSTERS, max(1, clusters or int(math.sqrt(n) / 7)))
+    centers = fit_centers(units, k)
+    asked = min(k, probes or k)
+    homes, visits = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    for c, h, v in classes.select("vec").mapInArrow(_tally(centers, asked, dim), "c bigint, homes bigint, visits bigint").groupBy("c").agg(F.sum("homes"), F.sum("visits")).collect():
+        homes[c], visits[c] = h, v
+    return Layout(centers, homes, visits, block_rows, VISITORS), asked
+
+
+def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16_384, probes: int | None = PROBES, clusters: int | None = None) -> DataFrame:
     """(id, near): ids of the k most similar by cosine (12 decimals), ties by smaller id, of every row of ``rows(id, vector)``."""
     keep = k + 1
     whole = F.col("vector").isNotNull() & (F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
     good = rows.where(F.col("id").isNotNull() & whole)
-    blocks = max(1, -(-good.count() // block_rows))
-    ids = good.groupBy("id").agg(F.any_value("vector").alias("vec"))
+    ids = good.groupBy("id").agg(F.min("vector").alias("vec"))
     # row_number <= keep is limited within each task before the shuffle, so a class of any size sends few rows.
     heads = ids.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= keep)
-    classes = heads.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
+    named = heads.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
     # Class numbers follow the smallest ids' order (range partitions), so ties between classes go by number.
-    numbered = classes.repartitionByRange(blocks, "first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cls"), "vec", "ids")
-    listed = "array<struct<cls:bigint,ids:array<string>,vec:array<float>>>"  # the vector of a class that may have more ids
-    packed = stage_table(numbered.mapInPandas(_pack(dim, keep, block_rows), f"block bigint, cls binary, mat binary, bar binary, ids {listed}, own array<struct<cls:bigint,sims:array<double>,near:array<bigint>>>"), "blocks")
-    cls = packed.select(F.explode("ids").alias("x")).select("x.*")
-    numbers = sorted(r["block"] for r in packed.select("block").collect())  # one a block
-    others = F.array(*[F.lit(b) for b in numbers]) if numbers else F.array().cast("array<bigint>")
-    pairs = F.transform(F.filter(others, lambda j: j != F.col("block")), lambda j: F.struct(F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))
-    met = packed.select("block", "cls", "mat", "bar", F.explode(pairs).alias("p")).repartition(max(1, len(numbers) * (len(numbers) - 1) // 2), "p").groupBy("p")
-    cross = met.applyInPandas(_tiles(dim, keep), "cls bigint, sims array<double>, near array<bigint>")
-    found = stage_table(packed.select(F.explode("own").alias("x")).select("x.*").unionByName(cross), "best")
+    classes = stage_table(named.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cls"), "vec", "ids"), "classes")
+    layout, asked = _layout(classes, dim, probes, clusters, block_rows)
+    blocks = classes.select("cls", "vec").mapInArrow(_assign(layout, asked, dim), "block bigint, cls bigint, mat binary, probes binary")
+    messages = blocks.groupBy("block").applyInArrow(_within(layout, asked, dim, keep), _MESSAGE)
+    best = messages.groupBy("target", "slice").applyInArrow(_between(asked, dim, keep), "cls bigint, sims array<double>, near array<bigint>")
+    found = stage_table(best, "best")
     merged = found.groupBy("cls").agg(F.flatten(F.collect_list("sims")).alias("sims"), F.flatten(F.collect_list("near")).alias("near"))
     entry = F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("c"))
     near = merged.select("cls", F.explode(F.slice(F.sort_array(entry), 1, keep)).alias("e")).select("cls", F.col("e.s").alias("s"), F.col("e.c").alias("near"))
     # A class is also near itself, at similarity 1; its own ids count for its members.
-    mine = cls.select("cls", F.lit(-1.0).alias("s"), F.explode("ids").alias("id"), F.lit(True).alias("own"))
-    named = near.join(cls.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "s", F.explode("ids").alias("id"), F.lit(False).alias("own")).unionByName(mine)
+    mine = classes.select("cls", F.lit(-1.0).alias("s"), F.explode("ids").alias("id"), F.lit(True).alias("own"))
+    known = near.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "s", F.explode("ids").alias("id"), F.lit(False).alias("own")).unionByName(mine)
     entries = F.sort_array(F.collect_list(F.struct("s", "id"))), F.collect_list(F.when(F.col("own"), F.col("id")))
-    best = named.groupBy("cls").agg(F.slice(entries[0], 1, keep).alias("e"), entries[1].alias("ids"))
-    lists = best.select("cls", "ids", F.transform("e", lambda x: x["id"]).alias("all"))
+    top = known.groupBy("cls").agg(F.slice(entries[0], 1, keep).alias("e"), entries[1].alias("ids"))
+    lists = top.select("cls", "ids", F.transform("e", lambda x: x["id"]).alias("all"))
     direct = lists.select(F.explode("ids").alias("id"), "all")
-    # A class with keep listed ids may have more: those are found by the vector, with a broadcast only if few classes are such.
-    large = stage_table(cls.where(F.col("vec").isNotNull()).select("cls", "vec", "ids"), "large-classes")
-    n_large = large.count()
-    more = direct.limit(0)
-    if n_large:
-        few = F.broadcast if n_large <= small else (lambda d: d)
-        members = good.select("id", F.col("vector").alias("vec")).join(few(large), "vec").where(~F.array_contains("ids", F.col("id"))).select("id", "cls").distinct()
-        more = members.join(few(lists.join(large.select("cls"), "cls", "left_semi").select("cls", "all")), "cls").select("id", "all")
+    # A class with keep listed ids may have more: those are found by the vector, a class's members by salt, so that a class of any size is spread.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    large = stage_table(classes.where(F.size("ids") == keep).join(lists.select("cls", "all"), "cls").select("vec", "ids", "all"), "large-classes")
+    members = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(large.withColumn("salt", salts), ["vec", "salt"])
+    more = members.where(~F.array_contains("ids", F.col("id"))).select("id", "all")
     return direct.unionByName(more).select("id", F.slice(F.filter("all", lambda x: x != F.col("id")), 1, k).alias("near"))
 
 
-def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32768) -> DataFrame:
+def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16_384, probes: int | None = PROBES, clusters: int | None = None) -> DataFrame:
     """Unordered pairs (id_a < id_b) of which at least one is among the k most similar of the other."""
-    e = nearest(rows, k, dim, block_rows).select("id", F.explode("near").alias("n"))
+    e = nearest(rows, k, dim, block_rows, probes, clusters).select("id", F.explode("near").alias("n"))
     return e.select(F.least("id", "n").alias("id_a"), F.greatest("id", "n").alias("id_b")).distinct()

@@ -35,6 +35,24 @@ def test_equals_brute_force_with_copies_and_ties(spark):
     assert found(spark, rows, block_rows=150) == brute([r for r in rows if r[0]])
 
 
+def test_blocks_parts_and_slices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 64))
+    near = [(f"n{i:04d}", [float(x) for x in np.float32(base[i % 12 if i % 3 else 0] + rng.normal(size=64) * 0.4)], "") for i in range(900)]
+    want = brute(near)
+    monkeypatch.setattr(neighbors, "VISITORS", 100)
+    assert found(spark, near, block_rows=60, clusters=9, probes=None) == want  # exact over clusters, parts of the large one and slices
+    got = found(spark, near, block_rows=60, clusters=9, probes=3)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_an_id_with_two_vectors_has_one(spark):
+    a, b = [1.0, 2.0], [2.0, 1.0]
+    rows = [("x", b, ""), ("x", a, ""), ("y", a, ""), ("z", b, "")]
+    assert found(spark, rows, dim=2, k=1) == {("x", "y"), ("x", "z")}
+    assert found(spark, rows[::-1], dim=2, k=1) == {("x", "y"), ("x", "z")}
+
+
 def test_few_and_none(spark):
     rows = [(f"i{n}", [float(n + 1), 1.0], "") for n in range(3)]
     assert found(spark, rows, dim=2) == brute(rows, dim=2)
