@@ -2,27 +2,31 @@
 
 Equal vectors form one class (its k + 1 smallest ids stand for it: with ties going to smaller ids, no other of its ids can
 be among any k nearest). Classes are ordered by cluster (spherical k-means on at most ``SAMPLE`` classes; every class is
-assigned) and put into blocks of about ``block_rows``: several small clusters, or a part of a large one. A class meets all
-classes of its own block and those of the ``probes`` clusters nearest to it; what it meets is found for both sides. A tile
+assigned) and put into blocks of about ``block_rows``: several small clusters, or a part of a large one. A class meets those of
+the ``probes`` clusters nearest to it; what it meets is found for both sides. A tile
 of integer products of int8 codes (exact in float32) gives every cosine up to an error bound; only pairs that the bound
 lets into a row's best so far are computed from the floats. Each task keeps a bounded sorted list a row, merged at the end:
 rows of one tile come in at once, for which a sorted merge in numpy is faster than a heap a row.
 
-A block sends a class once to each block it probes, with its bar, so messages are at most ``probes`` copies of the data;
+After its own block a class has a bar, and leaves out a probed cluster if a vector that beats the bar would have to lie across the
+boundary of the clusters by more than ``SPREAD`` deviations of a random direction (in exact mode: by more than its distance).
+A block sends a class once to each block it still probes, with its bar, so messages are at most ``probes`` copies of the data;
 a block that very many classes visit is joined in slices. There are about sqrt(classes) / 7 clusters, so the products grow as the
-classes to the power 1.5. Up to ``probes`` clusters (about 7,000 classes) the result is exact; ``probes=None`` is exact always, at
+classes to the power 1.5. Up to ``probes`` clusters (about 12,500 classes) the result is exact; ``probes=None`` is exact always, at
 quadratic work.
 
-Defined results: vectors that are null, all zero, hold a null or NaN or have another length are left out; of an id with
-several vectors the smallest is taken; fewer than k + 1 ids give all pairs there are; an empty table gives no rows.
+Defined results: vectors that are null, all zero, hold a null, NaN or infinity or have another length are left out, null ids too;
+an id with several vectors has the neighbours of each; fewer than k + 1 ids give all pairs there are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +34,7 @@ from strataloom.session import stage_table
 
 ROWS, COLS = 512, 2048  # a tile that stays in the cache
 SLACK = 1e-5  # of the float32 scaling of a tile
-PROBES = 12
+PROBES, SPREAD = 16, 2.0
 SAMPLE, ROUNDS = 65_536, 8  # classes that the clusters are fitted on, and rounds of that
 CLUSTERS = 2_048  # most clusters; beyond, clusters grow
 VISITORS = 131_072  # visiting classes of a block that one task takes
@@ -105,29 +109,6 @@ def _exact(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray):
         yield i, j, np.round(np.einsum("ij,ij->i", a[i], b[j]), 12)
 
 
-def own_best(a: np.ndarray, ids: np.ndarray, keep: int) -> Best:
-    """Best of each row of a block among the others of the block."""
-    c, best, n = Codes(a), Best(len(a), keep), len(a)
-    for lo in range(0, n, ROWS):
-        hi = min(lo + ROWS, n)
-        # The first tile is the one around the rows themselves: rows of a block are in the order of their clusters.
-        lefts = sorted(range(0, n, COLS), key=lambda left: (not left <= lo < left + COLS, left))
-        for nth, left in enumerate(lefts):
-            right = min(left + COLS, n)
-            tile = products(c, slice(lo, hi), c, slice(left, right))
-            both = np.arange(max(lo, left), min(hi, right))
-            tile[both - lo, both - left] = -2
-            off = c.miss[lo:hi] + c.size[lo:hi] * c.miss[left:right].max() + SLACK
-            if nth == 0 and right - left > keep:
-                best.bar[lo:hi] = np.partition(tile, right - left - keep, axis=1)[:, right - left - keep] - off
-            flat = np.flatnonzero(tile >= (best.bar[lo:hi] - off).astype(np.float32)[:, None])
-            x, y = np.divmod(flat, right - left)
-            apart = x + lo != y + left
-            for i, j, sims in _exact(a, x[apart] + lo, a, y[apart] + left):
-                best.add(i, sims, ids[j])
-    return best
-
-
 class Side:
     """Rows of one side of a block pair: unit vectors, codes, class numbers, home clusters and probed clusters."""
 
@@ -137,13 +118,17 @@ class Side:
 
 
 def visit(a: Side, best_a: Best, b: Side, best_b: Best) -> None:
-    """Lets the rows of ``a`` meet the rows of ``b`` in the clusters they probe; a row of ``b`` learns of one only if it won't visit that one's cluster."""
-    for cluster in np.unique(b.home):
-        come = np.flatnonzero((a.probes == cluster).any(axis=1))
-        here = np.flatnonzero(b.home == cluster)
+    """Lets the rows of ``a`` meet the rows of ``b`` in the clusters they probe; a row of ``b`` learns of one only if it won't visit that one's cluster.
+
+    Of a block with itself, rows meet those of their home first, which sets their bars.
+    """
+    within = a is b
+    for cluster, near in [(c, near) for near in ((True, False) if within else (False,)) for c in np.unique(b.home)]:
+        asked = a.home == cluster if near else (a.probes == cluster).any(axis=1) & (a.home != cluster if within else True)
+        come, here = np.flatnonzero(asked), np.flatnonzero(b.home == cluster)
         if not len(come):
             continue
-        ca, cb = a.codes.take(come), b.codes.take(here)
+        ca, cb, keep = a.codes.take(come), b.codes.take(here), best_a.keep
         for lo in range(0, len(come), ROWS):
             hi = min(lo + ROWS, len(come))
             rows = come[lo:hi]
@@ -153,14 +138,24 @@ def visit(a: Side, best_a: Best, b: Side, best_b: Best) -> None:
                 tile = products(ca, slice(lo, hi), cb, slice(left, right))
                 # |a.b - a'.b'| <= miss(a) + size(a') miss(b), here with the largest of the other side.
                 off_a = ca.miss[lo:hi] + ca.size[lo:hi] * cb.miss[left:right].max() + SLACK
-                off_b = cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + SLACK
+                if near:
+                    both = np.arange(max(lo, left), min(hi, right))
+                    tile[both - lo, both - left] = -2
+                    if left == 0 and right - left > keep:
+                        best_a.bar[rows] = np.partition(tile, right - left - keep, axis=1)[:, right - left - keep] - off_a
                 hit = tile >= (best_a.bar[rows] - off_a).astype(np.float32)[:, None]
-                hit |= tile >= (best_b.bar[cols] - off_b).astype(np.float32)[None, :]
+                if not near:
+                    off_b = cb.miss[left:right] + cb.size[left:right] * ca.miss[lo:hi].max() + SLACK
+                    hit |= tile >= (best_b.bar[cols] - off_b).astype(np.float32)[None, :]
                 x, y = np.divmod(np.flatnonzero(hit), right - left)
+                if near:
+                    apart = rows[x] != cols[y]
+                    x, y = x[apart], y[apart]
                 for i, j, sims in _exact(a.units, rows[x], b.units, cols[y]):
                     best_a.add(i, sims, b.ids[j])
-                    untold = ~(b.probes[j] == a.home[i][:, None]).any(axis=1)
-                    best_b.add(j[untold], sims[untold], a.ids[i[untold]])
+                    if not near:
+                        untold = ~(b.probes[j] == a.home[i][:, None]).any(axis=1)
+                        best_b.add(j[untold], sims[untold], a.ids[i[untold]])
 
 
 _BEST = pa.schema([("cls", pa.int64()), ("sims", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
@@ -174,6 +169,29 @@ def _rows(ids: np.ndarray, best: Best) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[some]), pa.ListArray.from_arrays(ends, pa.array(best.sim[some][live[some]])), pa.ListArray.from_arrays(ends, pa.array(best.who[some][live[some]]))], schema=_BEST)
 
 
+# --- classes of equal vectors
+
+
+def _heads(dim: int, keep: int | None):
+    """(vec, id) of usable rows; of each vector of a batch the ``keep`` smallest ids."""
+
+    def run(batches):
+        for batch in batches:
+            vectors, ids = batch.column(1), batch.column(0)
+            fit = pc.and_(pc.and_(pc.is_valid(ids), pc.is_valid(vectors)), pc.equal(pc.list_value_length(vectors), dim))
+            some = batch.filter(pc.fill_null(fit, False))
+            flat = some.column(1).flatten()
+            mat = np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float32), nan=np.inf).reshape(-1, dim)
+            good = np.isfinite(mat).all(axis=1) & (mat != 0).any(axis=1)
+            by: dict[bytes, set[str]] = {}
+            for i, v in zip(some.column(0).filter(pa.array(good)).to_pylist(), mat[good]):
+                by.setdefault(v.tobytes(), set()).add(i)
+            kept = [(v, i) for v, own in by.items() for i in (own if keep is None else heapq.nsmallest(keep, own))]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.binary()), pa.array([i for _, i in kept], pa.string())], ["vec", "id"])
+
+    return run
+
+
 # --- clusters, and the layout of blocks
 
 
@@ -191,7 +209,7 @@ def fit_centers(units: np.ndarray, clusters: int, rounds: int = ROUNDS) -> np.nd
 
 def nearest_centers(units: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` centres nearest to each row, nearest first, equal ones by number."""
-    out = np.empty((len(units), n), dtype=np.int32)
+    out = np.empty((len(units), n), dtype=np.int16)
     for lo in range(0, len(units), 4096):
         s = units[lo : lo + 4096] @ centers.T
         if n < len(centers):
@@ -214,10 +232,10 @@ class Layout:
             rest = np.array(sorted(left))
             order.append(int(rest[np.argmax(centers[rest] @ centers[order[-1]])]))
             left.remove(order[-1])
-        at, held, came, visited = 0, 0, 0, []
+        at, held, came, visited, total = 0, 0, 0, [], int(homes.sum())
         for c in order:
             if held and held + homes[c] > block_rows:
-                visited.append(came)
+                visited.append(min(came, total))
                 at, held, came = at + 1, 0, 0
             self.first[c] = at
             if self.parts[c] > 1:
@@ -225,7 +243,7 @@ class Layout:
                 at += int(self.parts[c])
             else:
                 held, came = held + int(homes[c]), came + int(visits[c])
-        self.slices = np.maximum(1, -(-np.array([*visited, came, 0]) // visitors))
+        self.slices = np.maximum(1, -(-np.array([*visited, min(came, total), 0]) // visitors))
 
     def home(self, cluster: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Block of each class."""
@@ -233,8 +251,7 @@ class Layout:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
 def _tally(centers: np.ndarray, probes: int, dim: int):
@@ -254,11 +271,10 @@ def _tally(centers: np.ndarray, probes: int, dim: int):
 def _assign(layout: Layout, probes: int, dim: int):
     def run(batches):
         for batch in batches:
-            mat, cls = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
-            near = nearest_centers(_units(mat), layout.centers, probes)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(mat), [None, pa.py_buffer(mat.tobytes())]).cast(pa.binary())
-            asked = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * probes), len(mat), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(layout.home(near[:, 0], cls)), pa.array(cls), packed, asked], ["block", "cls", "mat", "probes"])
+            cls = batch.column(0).to_numpy()
+            near = nearest_centers(_units(_matrix(batch.column(1), dim)), layout.centers, probes)
+            asked = pa.array([row.tobytes() for row in near], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(layout.home(near[:, 0], cls), pa.int64()), batch.column(0), batch.column(1), asked], ["block", "cls", "mat", "probes"])
 
     return run
 
@@ -270,19 +286,33 @@ def _joined(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
 _MESSAGE = "target bigint, slice int, source bigint, cls binary, mat binary, bar binary, probes binary, sims binary, near binary"
 
 
-def _within(layout: Layout, probes: int, dim: int, keep: int):
+def skipped(units: np.ndarray, bar: np.ndarray, asked: np.ndarray, centers: np.ndarray, reach: float) -> np.ndarray:
+    """Which probed clusters a row leaves out. A vector y of cluster c with centre c is nearer to c than to the row's centre h, so
+    x.(h - c) <= (x - y).(h - c) <= |x - y| |h - c| for all y, and <= ``reach`` |x - y| |h - c| for most in a random direction."""
+    far = np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isfinite(bar), bar, -1.0)))
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))
+    near = np.take_along_axis(units @ centers.T, asked.astype(np.int64), 1)
+    return near[:, :1] - near > reach * far[:, None] * apart[asked[:, :1], asked] + 1e-9
+
+
+def _within(layout: Layout, probes: int, dim: int, keep: int, reach: float):
     """A block's own pairs; then one message to itself (a slice each) and one to each block that its rows probe."""
 
     def run(block: pa.Table) -> pa.Table:
         own = block.column("block")[0].as_py()
-        asked = _joined(block.column("probes"), np.int32, probes)
+        asked = _joined(block.column("probes"), np.int16, probes)
         cls = block.column("cls").to_numpy()
         order = np.lexsort((cls, asked[:, 0]))
         cls, asked, mat = cls[order], asked[order], _joined(block.column("mat"), np.float32, dim)[order]
-        best = own_best(_units(mat), cls, keep)
+        best, side = Best(len(cls), keep), Side(mat, cls, asked[:, 0], asked)
+        visit(side, best, side, best)
         bar = best.sim[:, -1]
-        out = [(own, s, own, cls.tobytes(), mat.tobytes(), bar.tobytes(), asked.tobytes(), best.sim.tobytes() if s == 0 else b"", best.who.tobytes() if s == 0 else b"") for s in range(int(layout.slices[own]))]
+        asked = asked.copy()
         first, parts = layout.first[asked], layout.parts[asked]
+        out_of = ((first != own) | (parts > 1)) & skipped(side.units, bar, asked, layout.centers, reach)
+        asked[out_of] = -1
+        out = [(own, s, own, cls.tobytes(), mat.tobytes(), bar.tobytes(), asked.tobytes(), best.sim.tobytes() if s == 0 else b"", best.who.tobytes() if s == 0 else b"") for s in range(int(layout.slices[own]))]
+        first, parts = np.where(out_of, -1, first), np.where(out_of, 0, parts)
         for target in sorted({b for f, n in set(zip(first.ravel().tolist(), parts.ravel().tolist())) for b in range(f, f + n)} - {own}):
             go = ((first <= target) & (target < first + parts)).any(axis=1)
             out.append((target, own % int(layout.slices[target]), own, cls[go].tobytes(), mat[go].tobytes(), bar[go].tobytes(), asked[go].tobytes(), b"", b""))
@@ -296,7 +326,7 @@ def _between(probes: int, dim: int, keep: int):
     """Best of the visitors of a block, and of the block's own rows."""
 
     def side(m: dict) -> Side:
-        asked = np.frombuffer(m["probes"], dtype=np.int32).reshape(-1, probes)
+        asked = np.frombuffer(m["probes"], dtype=np.int16).reshape(-1, probes)
         return Side(np.frombuffer(m["mat"], dtype=np.float32).reshape(-1, dim), np.frombuffer(m["cls"], dtype=np.int64), asked[:, 0], asked)
 
     def run(messages: pa.Table) -> pa.Table:
@@ -337,20 +367,19 @@ def _layout(classes: DataFrame, dim: int, probes: int | None, clusters: int | No
     return Layout(centers, homes, visits, block_rows, VISITORS), asked
 
 
-def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16_384, probes: int | None = PROBES, clusters: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32_768, probes: int | None = PROBES, clusters: int | None = None, spread: float = SPREAD) -> DataFrame:
     """(id, near): ids of the k most similar by cosine (12 decimals), ties by smaller id, of every row of ``rows(id, vector)``."""
     keep = k + 1
-    whole = F.col("vector").isNotNull() & (F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
-    good = rows.where(F.col("id").isNotNull() & whole)
-    ids = good.groupBy("id").agg(F.min("vector").alias("vec"))
-    # row_number <= keep is limited within each task before the shuffle, so a class of any size sends few rows.
-    heads = ids.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= keep)
-    named = heads.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
+    given = rows.select(F.col("id").cast("string").alias("id"), "vector")
+    # Each task, and each batch in it, sends at most keep ids of a vector, so a class of any size sends few rows.
+    heads = given.mapInArrow(_heads(dim, keep), "vec binary, id string").groupBy("vec").agg(F.slice(F.sort_array(F.collect_set("id")), 1, keep).alias("ids"))
     # Class numbers follow the smallest ids' order (range partitions), so ties between classes go by number.
-    classes = stage_table(named.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cls"), "vec", "ids"), "classes")
+    numbered = heads.withColumn("first", F.col("ids")[0]).repartitionByRange("first").sortWithinPartitions("first", "vec")
+    classes = stage_table(numbered.select(F.monotonically_increasing_id().alias("cls"), "vec", "ids"), "classes")
     layout, asked = _layout(classes, dim, probes, clusters, block_rows)
     blocks = classes.select("cls", "vec").mapInArrow(_assign(layout, asked, dim), "block bigint, cls bigint, mat binary, probes binary")
-    messages = blocks.groupBy("block").applyInArrow(_within(layout, asked, dim, keep), _MESSAGE)
+    reach = min(1.0, spread / math.sqrt(dim)) if probes else 1.0
+    messages = blocks.groupBy("block").applyInArrow(_within(layout, asked, dim, keep, reach), _MESSAGE)
     best = messages.groupBy("target", "slice").applyInArrow(_between(asked, dim, keep), "cls bigint, sims array<double>, near array<bigint>")
     found = stage_table(best, "best")
     merged = found.groupBy("cls").agg(F.flatten(F.collect_list("sims")).alias("sims"), F.flatten(F.collect_list("near")).alias("near"))
@@ -361,17 +390,19 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16_384
     known = near.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "s", F.explode("ids").alias("id"), F.lit(False).alias("own")).unionByName(mine)
     entries = F.sort_array(F.collect_list(F.struct("s", "id"))), F.collect_list(F.when(F.col("own"), F.col("id")))
     top = known.groupBy("cls").agg(F.slice(entries[0], 1, keep).alias("e"), entries[1].alias("ids"))
-    lists = top.select("cls", "ids", F.transform("e", lambda x: x["id"]).alias("all"))
+    lists = stage_table(top.select("cls", "ids", F.transform("e", lambda x: x["id"]).alias("all")), "lists")
     direct = lists.select(F.explode("ids").alias("id"), "all")
     # A class with keep listed ids may have more: those are found by the vector, a class's members by salt, so that a class of any size is spread.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    large = stage_table(classes.where(F.size("ids") == keep).join(lists.select("cls", "all"), "cls").select("vec", "ids", "all"), "large-classes")
-    members = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(large.withColumn("salt", salts), ["vec", "salt"])
-    more = members.where(~F.array_contains("ids", F.col("id"))).select("id", "all")
+    large = stage_table(classes.where(F.size("ids") == keep).select("cls", "vec").join(lists, "cls").drop("cls"), "large-classes")
+    if large.isEmpty():
+        return direct.select("id", F.slice(F.filter("all", lambda x: x != F.col("id")), 1, k).alias("near"))
+    members = given.mapInArrow(_heads(dim, None), "vec binary, id string").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread_out = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    more = members.join(spread_out, ["vec", "salt"]).where(~F.array_contains("ids", F.col("id"))).select("id", "all").distinct()
     return direct.unionByName(more).select("id", F.slice(F.filter("all", lambda x: x != F.col("id")), 1, k).alias("near"))
 
 
-def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 16_384, probes: int | None = PROBES, clusters: int | None = None) -> DataFrame:
+def neighbor_pairs(rows: DataFrame, k: int = 5, dim: int = 64, block_rows: int = 32_768, probes: int | None = PROBES, clusters: int | None = None) -> DataFrame:
     """Unordered pairs (id_a < id_b) of which at least one is among the k most similar of the other."""
     e = nearest(rows, k, dim, block_rows, probes, clusters).select("id", F.explode("near").alias("n"))
     return e.select(F.least("id", "n").alias("id_a"), F.greatest("id", "n").alias("id_b")).distinct()
