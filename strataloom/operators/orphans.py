@@ -1,9 +1,9 @@
 """References to records that do not exist.
 
-A blocked Bloom filter of all parent keys (built-in bitmap aggregates; ``blocks`` blocks of 4 KiB, so the broadcast has a
-fixed bound whatever the data's size) proves most orphans at the scan. Only the distinct keys that pass it are joined
-with the parents exactly. With more parents than the filter is sized for more keys pass and are verified; the result is
-the same.
+A blocked Bloom filter of all parent keys (built-in bitmap aggregates; blocks of 4 KiB, ``BITS_PER_KEY`` bits for each of the
+counted keys, so that under 1 % of absent keys pass it at any size) proves most orphans. Only the distinct keys that pass it are
+joined with the parents exactly. Up to ``BROADCAST_BLOCKS`` blocks (64 MiB, about 45 million keys) the filter is broadcast and
+applied at the scan; a larger one is joined, block by block, with the distinct keys of the references.
 
 Defined results: a null reference is none; a null ``from_file`` leaves a symbol without ``to_file`` unjudged; repeated
 edges count once; empty parents make every reference an orphan; empty edges give no rows; other columns are ignored.
@@ -21,6 +21,8 @@ CODE_ENDINGS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "pyi
 WRITTEN_FOR = {"ts": ("js",), "tsx": ("js", "jsx"), "mts": ("mjs",), "cts": ("cjs",)}
 BLOCK_BITS = 32768  # bits of one bitmap of Spark's bitmap_construct_agg
 PROBES = 4
+BITS_PER_KEY = 12
+BROADCAST_BLOCKS = 16_384
 SALTS = 16
 
 
@@ -82,15 +84,21 @@ def _probe(k: Column, i: int) -> Column:
     return F.pmod(F.shiftright(F.xxhash64(k, F.lit("probe")), 15 * i), F.lit(BLOCK_BITS))
 
 
+def blocks_for(n_keys: int) -> int:
+    """Blocks of a filter of that many keys."""
+    return max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
+
+
 def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, bits): partial aggregation leaves at most ``blocks`` bitmaps a task, and ``blocks`` in all."""
-    bits = keys.select(_block(F.col("k"), blocks).alias("block"), F.explode(F.array(*[_probe(F.col("k"), i) for i in range(PROBES)])).alias("at"))
+    """(block, bits). Keys are moved as a block number and a hash; the bitmaps, one a block, are built where they stay."""
+    hashed = keys.select(_block(F.col("k"), blocks).alias("block"), *[_probe(F.col("k"), i).cast("int").alias(f"p{i}") for i in range(PROBES)]).repartition("block")
+    bits = hashed.select("block", F.explode(F.array(*[F.col(f"p{i}").cast("bigint") for i in range(PROBES)])).alias("at"))
     return bits.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def maybe_held(refs: DataFrame, filt: DataFrame, blocks: int) -> DataFrame:
-    """``refs`` with ``maybe``: false proves that the key has no parent."""
-    joined = refs.withColumn("block", _block(F.col("k"), blocks)).join(F.broadcast(filt), "block", "left")
+    """``refs`` with ``maybe``: false proves that the key has no parent. The filter is broadcast if it is within the bound."""
+    joined = refs.withColumn("block", _block(F.col("k"), blocks)).join(F.broadcast(filt) if blocks <= BROADCAST_BLOCKS else filt, "block", "left")
     held = F.col("bits").isNotNull()
     for i in range(PROBES):
         at = _probe(F.col("k"), i)
@@ -99,25 +107,32 @@ def maybe_held(refs: DataFrame, filt: DataFrame, blocks: int) -> DataFrame:
     return joined.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("block", "bits")
 
 
-def orphan_references(edges: DataFrame, chunks: DataFrame, manifest: DataFrame, known: DataFrame, blocks: int = 2048) -> DataFrame:
+def orphan_references(edges: DataFrame, chunks: DataFrame, manifest: DataFrame, known: DataFrame, blocks: int | None = None) -> DataFrame:
     """Orphans (edge_id, indexed_at, ref_field), one row per reference row; see the module for nulls and repeats."""
     parents = stage_table(parent_keys(chunks, manifest), "parent-keys")  # read three times
-    refs = maybe_held(references(edges, known), bloom(parents, blocks), blocks)
-    proven = refs.where(~F.col("maybe"))
-    # Only keys that pass are verified, each once; a hot key shrinks to one row a task before the shuffle.
-    passed = refs.where("maybe")
-    missing = passed.select("k").distinct().join(parents, "k", "left_anti")
-    salted = missing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    verified = passed.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"]).drop("salt")
-    orphans = stage_table(proven.unionByName(verified), "orphans")
+    blocks = blocks or blocks_for(parents.count())
+    refs, filt = references(edges, known), bloom(parents, blocks)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)).cast("int"))
+    if blocks <= BROADCAST_BLOCKS:
+        refs = maybe_held(refs, filt, blocks)
+        proven, passed = refs.where(~F.col("maybe")), refs.where("maybe")
+        # Only keys that pass are verified, each once; a hot key shrinks to one row a task before the shuffle.
+        missing = passed.select("k").distinct().join(parents, "k", "left_anti")
+        orphans = proven.unionByName(salted(passed).join(missing.withColumn("salt", salts), ["k", "salt"]).drop("salt"))
+    else:
+        keys = maybe_held(refs.select("k").distinct(), filt, blocks)
+        missing = keys.where(~F.col("maybe")).select("k").union(keys.where("maybe").select("k").join(parents, "k", "left_anti"))
+        orphans = salted(refs).join(missing.withColumn("salt", salts), ["k", "salt"]).drop("salt")
+    orphans = stage_table(orphans, "orphans")
     # A symbol of a file that does not resolve is not judged: such rows are found by the same keys.
     bound = orphans.where(F.col("need").isNotNull())
-    files = bound.select(F.col("need").alias("k")).distinct().join(parents, "k", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = bound.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)).cast("int")).join(files.withColumnRenamed("k", "need"), ["need", "salt"], "left_semi")
+    files = bound.select(F.col("need").alias("k")).distinct().join(parents, "k", "left_semi").withColumn("salt", salts)
+    judged = salted(bound).join(files.withColumnRenamed("k", "need"), ["need", "salt"], "left_semi")
     return orphans.where(F.col("need").isNull()).select("edge_id", "indexed_at", "ref_field").unionByName(judged.select("edge_id", "indexed_at", "ref_field"))
 
 
-def orphan_report(edges: DataFrame, chunks: DataFrame, manifest: DataFrame, known: DataFrame, blocks: int = 2048) -> DataFrame:
+def orphan_report(edges: DataFrame, chunks: DataFrame, manifest: DataFrame, known: DataFrame, blocks: int | None = None) -> DataFrame:
     """Orphans per missing table, field and month of first sighting of the edge."""
     found = orphan_references(edges, chunks, manifest, known, blocks).groupBy("edge_id", "ref_field").agg(F.min("indexed_at").alias("at"))
     target = F.when(F.col("ref_field") == "to_file", "manifest").otherwise("chunks")

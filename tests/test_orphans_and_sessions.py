@@ -4,6 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from strataloom.operators import orphans as O
 from strataloom.operators.orphans import orphan_references, orphan_report
 from strataloom.streaming import sessions as K
 
@@ -19,6 +22,12 @@ def tables(spark, edges, blocks=16):
     return e, c, m, n
 
 
+@pytest.fixture(params=["broadcast", "joined"], autouse=True)
+def filter_form(request, monkeypatch):
+    if request.param == "joined":
+        monkeypatch.setattr(O, "BROADCAST_BLOCKS", 0)
+
+
 def found(spark, edges):
     return {(r["edge_id"], r["ref_field"]) for r in orphan_references(*tables(spark, edges), blocks=16).collect()}
 
@@ -52,6 +61,15 @@ def test_small_filter_gives_the_same(spark):
     assert got == set(range(300))
 
 
+def test_a_filter_of_its_keys_passes_few_others(spark):
+    keys = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    n = O.blocks_for(200_000)
+    filt = O.bloom(keys, n)
+    assert O.maybe_held(keys, filt, n).where("not maybe").count() == 0
+    absent = spark.range(200_000).select(F.concat(F.lit("absent"), "id").alias("k"))
+    assert O.maybe_held(absent, filt, n).where("maybe").count() < 0.02 * 200_000
+
+
 def test_empty_tables_and_report(spark):
     e, c, m, n = tables(spark, [(1, "x", "/ws/r/a.ts", None, "f", "/p", "call")])
     assert orphan_references(e.limit(0), c, m, n).count() == 0
