@@ -3,12 +3,18 @@
 Candidate values are cut out wherever a credential may stand: in quotes (also quoted parts put together), after an equals
 sign or colon, in an address or its parameters, after an authorisation scheme, after a word like password, as a long word
 of mixed characters, or as a key block. A logistic regression scores each by how unlikely its characters are under a
-Markov model of the corpus's own words, by the words of the identifier beside it, and by its path. It is trained on weak
-labels: patterns that speak clearly for or against. The score is calibrated on held-out weak labels (Platt) and cut at
-``THRESHOLD``. Markov counts are taken over all contents; the regression sees at most ``SAMPLE`` candidates.
+Markov model of the corpus, by the ratio of its likelihoods under Markov models of labelled credentials and of labelled
+others, by its shape, by the words of the identifier beside it (learnt, one weight a word), by where it stands and by its
+path. Weak labels come from patterns that speak clearly for or against; the patterns are no features, and nothing overrules the
+score. It is calibrated (Platt) on the scores of held-out folds and cut at ``THRESHOLD``. Markov counts are taken over all
+contents; the regression sees at most ``SAMPLE`` candidates of at most ``TRAINED`` characters.
+
+Candidates are staged sealed, under a key that only the driver and its tasks hold in memory.
 
 Defined results: null and empty contents have none; a value counts on the line where it starts, in every row that holds it;
-repeated rows count once in (id, line_no); masked contents keep their length, line ends and all other characters.
+repeated rows count once in (id, line_no); without labelled values of both kinds nothing can be learnt, and nothing is found;
+with fewer than two distinct ones of a kind nothing can be held out, and scores stay uncalibrated; masked contents keep their
+length, line ends and all other characters.
 """
 
 from __future__ import annotations
@@ -16,27 +22,31 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import hashlib
 import math
+import os
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import stage_table
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 0.02
+BLOB = 100  # characters from which a value beside no word of secrets is labelled as data
+FOLDS, VOCABULARY = 3, 200  # of the calibration; words beside values that have a weight
 # Characters of a value beyond which it isn't trained on, so that the driver's sample stays bounded; it is judged whole all the same.
 TRAINED = 4_000
 
-# Words beside a value: of secrets, of things that aren't, and of schemes.
+# Words beside a value that label it: of secrets, and of things that aren't.
 SECRET = {"password", "passwort", "passwd", "pass", "pwd", "passphrase", "secret", "token", "key", "apikey", "auth", "authorization", "credential", "credentials", "creds", "cred", "sig", "signature", "psk", "dsn"}
 STRONG = {"password", "passwort", "passwd", "pass", "pwd", "passphrase", "secret", "apikey"}
 PLAIN = {"header", "headers", "name", "label", "field", "id", "uuid", "guid", "etag", "integrity", "checksum", "hash", "sha", "sha1", "sha256", "sha512", "md5", "revision", "public", "version", "placeholder", "help", "example", "nonce", "param", "base64"}
-# Words of the remarks that people leave beside a secret.
-REMARK = {"works", "rotate", "temporary", "login", "log"}
 # Values that stand in for one.
 _STAND_IN = re.compile(
     r"""(?ix)^(?:.{0,3}|(.)\1{3,}.*|[*•x.\-_\#]+|<.*>|\{.*\}|\$\{?\(?[a-z_][\w.]*\)?\}?|%[a-z_]\w*%?|\[.*\]|.*\$\{.*|.*\{\{.*|@@.*|your.*|(?:my|the|a|some|insert|enter|add|put|set|use|replace|choose)[-_\ ](?:your|my|the|a|some|new|real|own|here|with|this|it|password|passwd|secret|token|key|value|api)\b.*
@@ -193,6 +203,8 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
         elif kind == "set":
             out.append((m.start("setval"), m.end("setval"), kind, m.group("setval"), m.group("sname")))
         elif kind == "word":
+            if _DATA_LEFT.search(left):
+                continue
             value = m.group().rstrip(".-=") if not m.group().endswith("==") else m.group()
             out.append((a, a + len(value), kind, value, left[-40:]))
         else:
@@ -218,7 +230,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
 
 def _inner(text: str, a: int, b: int, kind: str, value: str, name: str):
     """A quoted value, or what stands in it: an address, a scheme, a sentence."""
-    if len(value) < 4:
+    if len(value) < 4 or _DATA.match(value):  # a data address holds content
         return
     if kind == "quoted" and ("://" in value or " " in value.strip() or "=" in value[:-2]):
         for m, k, x, y, _ in _matches(value):
@@ -233,7 +245,7 @@ def _inner(text: str, a: int, b: int, kind: str, value: str, name: str):
         yield a + (kind == "quoted"), b - (kind == "quoted"), kind, value, name
 
 
-# --- the Markov model of the corpus's words
+# --- Markov models
 
 _N = 97
 
@@ -259,19 +271,31 @@ class Markov:
         m = counts.reshape(_N, _N).astype(np.float64) + 0.5
         self.log = np.log(m / m.sum(axis=1, keepdims=True))
 
-    def mean(self, value: str) -> float:
-        c = _codes(value)
-        return float(self.log[c[:-1], c[1:]].mean()) if len(c) > 1 else -4.0
+    def mean(self, codes: np.ndarray) -> float:
+        return float(self.log[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else -4.0
 
 
-# --- features and weak labels
+class Ratio:
+    """Log-ratio of likelihoods under Markov models of labelled credentials and of the others; values have an edge at both ends."""
 
-FEATURES = ("bias", "unlikely", "unlikely_long", "entropy", "length", "digits", "mixed", "symbols", "known", "stand_in", "hashlike", "hex", "secret", "strong", "plain", "plain_secret", "env", "remark", "userinfo", "login", "block", "scheme", "param", "joined", "said", "set", "word", "decoded", "path_like", "test", "doc", "history", "secret_odd", "words_only")
+    def __init__(self, values: list[str], y: np.ndarray):
+        m = np.full((2, _N * _N), 0.3)
+        for v, label in zip(values, y):
+            c = np.r_[0, _codes(v), 0]
+            np.add.at(m[int(label)], c[:-1] * _N + c[1:], min(1.0, 20 / (len(c) - 1)))  # a long value counts as 20 characters
+        m = m.reshape(2, _N, _N)
+        log = np.log(m / m.sum(axis=2, keepdims=True))
+        self.log = log[1] - log[0]
 
+    def of(self, codes: np.ndarray) -> tuple[float, float]:
+        """Mean, and bounded sum."""
+        d = self.log[np.r_[0, codes], np.r_[codes, 0]]
+        return float(d.mean()), min(6.0, max(-6.0, float(d.sum()) / 10))
+
+
+# --- features and weak labels
 
-def _entropy(value: str) -> float:
-    n = len(value)
-    return -sum(k / n * math.log2(k / n) for k in (value.count(c) for c in set(value)))
+_READABLE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 
 
 def _decoded(value: str) -> bool:
@@ -290,160 +314,223 @@ def odd(value: str) -> bool:
     return has[1] and (has[0] or has[2]) and sum(has) >= 2
 
 
-def features(kind: str, value: str, label: str, path: str, markov: Markov) -> list[float]:
-    words = set(words_of(label))
-    strong, secret = bool(words & STRONG) or {"api", "key"} <= words, bool(words & SECRET)
-    plain = bool(words & PLAIN)
-    n = len(value)
-    unlikely = -markov.mean(value) - 3.0
-    digits = sum(c.isdigit() for c in value) / max(n, 1)
-    known, stand_in = bool(_KNOWN.match(value)), bool(_STAND_IN.match(value))
-    low = path.lower()
-    return [
-        1.0, unlikely, unlikely * min(n, 40) / 20, _entropy(value) - 3.0 if n else -3.0, min(n, 64) / 16 - 1, digits, float(any(c.isupper() for c in value) and any(c.islower() for c in value)),
-        float(any(not c.isalnum() for c in value)), float(known), float(stand_in), float(bool(_HASHLIKE.match(value))), float(bool(_HEX.match(value))), float(secret), float(strong), float(plain), float(plain and secret), float(label.startswith("env ")), float(bool(words & REMARK) and odd(value) and n >= 16),
-        *(float(kind == k) for k in ("userinfo", "login", "block", "scheme", "param", "joined", "said", "set", "word")), float(kind == "scheme" and _decoded(value)), float("/" in value or value.count(".") > 1),
-        float("test" in low), float(low.endswith((".md", ".txt", ".rst"))), float(path == ""), float(secret and odd(value)), float(value.replace("-", "").replace("_", "").replace(".", "").replace("/", "").isalpha()),
-    ]
-
-
-def ruled_out(kind: str, value: str, label: str) -> bool:
-    """Exact check after the score: stand-ins, hashes, looked-up names, and data addresses are no credentials."""
-    return bool(_STAND_IN.match(value) or _HASHLIKE.match(value) or label.startswith("env ") or _DATA.match(value) or _DATA_LEFT.search(label))
-
-
 def weak_label(kind: str, value: str, label: str) -> int | None:
     """1 or 0 where a pattern speaks clearly, else None."""
     words = set(words_of(label))
-    if ruled_out(kind, value, label):
+    plain, secret, strong = bool(words & PLAIN), bool(words & SECRET), bool(words & STRONG) or {"api", "key"} <= words
+    if _STAND_IN.match(value) or _HASHLIKE.match(value) or label.startswith("env "):
         return 0
     if kind in ("block", "userinfo", "login") or _KNOWN.match(value):
         return 1
     if kind == "scheme":
-        return 1 if _decoded(value) or _HEX.match(value) or odd(value) and len(value) >= 16 else None
-    plain, strong = bool(words & PLAIN), bool(words & STRONG) or {"api", "key"} <= words
-    if words & REMARK and not plain and odd(value) and len(value) >= 16:
-        return 1
+        return 1 if _decoded(value) or _HEX.match(value) or odd(value) and len(value) >= 16 else 0 if value.isalpha() and value.islower() else None
     if strong and not plain and odd(value) and len(value) >= 8:
         return 1
-    if words & SECRET and not plain and odd(value) and len(value) >= 20:
+    if secret and not plain and odd(value) and len(value) >= 20:
         return 1
     if kind == "param":
-        return 1 if words & SECRET and odd(value) else 0
-    if plain or not words & SECRET:
+        return 1 if secret and odd(value) else 0
+    if secret and not plain:
+        return None if odd(value) else 0
+    if plain or not odd(value) or _HEX.match(value) or len(value) < 16 or sum(map(len, _READABLE.findall(value))) >= 0.6 * len(value):
         return 0
-    if not odd(value):
-        return 0
-    return None
+    return 0 if len(value) >= BLOB and not secret else None  # a long odd value beside no word that speaks
+
+
+_PLACES = ("userinfo", "login", "block", "scheme", "param", "joined", "said", "set", "word")
+_HEXED = re.compile(r"[0-9a-fA-F-]*\Z")
+
+
+def _shape(kind: str, value: str, path: str, markov: Markov, ratio: Ratio) -> list[float]:
+    n, codes, low = len(value), _codes(value), path.lower()
+    unlikely = -markov.mean(codes) - 3.0
+    times = np.bincount(codes)
+    share = times[times > 0] / max(n, 1)
+    return [
+        1.0, unlikely, unlikely * min(n, 40) / 20, float(-(share * np.log2(share)).sum()) - 3.0, min(n, 64) / 16 - 1, math.log2(max(n, 64)) - 6, float(times[17:27].sum()) / max(n, 1), float(value.lower() != value != value.upper()), float(not value.isalnum()), float("/" in value), float(value.count(".") > 1),
+        float(value.replace("-", "").replace("_", "").replace(".", "").replace("/", "").isalpha()), float(bool(_HEXED.match(value))), len(share) / max(min(n, 30), 1), *(float(kind == k) for k in _PLACES), float("test" in low), float(low.endswith((".md", ".txt", ".rst"))), float(path == ""),
+        *ratio.of(codes),
+    ]
+
+
+class Features:
+    """What the regression sees of a candidate: its shape, and which of the frequent words stand beside it."""
+
+    def __init__(self, markov: Markov, ratio: Ratio, vocabulary: dict[str, int]):
+        self.markov, self.ratio, self.vocabulary = markov, ratio, vocabulary
+
+    def beside(self, label: str) -> list[int]:
+        return [self.vocabulary[w] for w in {*words_of(label), *(["(env)"] if label.startswith("env ") else [])} if w in self.vocabulary]
+
+    def shapes(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
+        return np.array([_shape(k, v, p, self.markov, self.ratio) for k, v, _, p in rows])
+
+    def matrix(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
+        words = np.zeros((len(rows), len(self.vocabulary)))
+        for i, r in enumerate(rows):
+            words[i, self.beside(r[2])] = 1.0
+        return np.concatenate([self.shapes(rows), words], axis=1)
 
 
 class Model:
-    """Weights of the regression and of its calibration, with the Markov model."""
+    """Weights of the regression and of its calibration, with the features' models; without weights nothing scores."""
 
-    def __init__(self, markov: Markov, weights: np.ndarray, slope: float, shift: float):
-        self.markov, self.weights, self.slope, self.shift = markov, weights, slope, shift
+    def __init__(self, features: Features | None, weights: np.ndarray | None = None, slope: float = 1.0, shift: float = 0.0):
+        self.features, self.weights, self.slope, self.shift = features, weights, slope, shift
+
+    def raw(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
+        x = self.features.shapes(rows)
+        z, each = x @ self.weights[: x.shape[1]], self.weights[x.shape[1] :]
+        return z + np.array([each[self.features.beside(r[2])].sum() for r in rows])
 
     def score(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
         """Calibrated probability of (kind, value, label, path) rows."""
-        if not rows:
-            return np.empty(0)
-        z = np.array([features(*r, self.markov) for r in rows]) @ self.weights
-        out = [ruled_out(*r[:3]) for r in rows]
-        return np.where(out, 0.0, 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30))))
+        if not rows or self.weights is None:
+            return np.zeros(len(rows))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.shift, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Logistic regression by Newton steps, classes weighted alike."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float, alike: bool = True) -> np.ndarray:
+    """Logistic regression by Newton steps, classes weighted alike or as they come."""
     w = np.zeros(x.shape[1])
-    each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y) if alike else np.ones(len(y))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (each * (p - y)) + ridge * w
         h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
+def _learn(rows: list, y: np.ndarray, values: np.ndarray, markov: Markov, vocabulary: dict[str, int]) -> Model:
+    """Fits a model; each half of the values is seen through likelihood ratios of the other half, as unknown values will be."""
+    half = values % 2 == 0
+    parts, order = [], []
+    for side in (half, ~half):
+        mine, others = np.flatnonzero(side), np.flatnonzero(~side)
+        if len(mine):
+            f = Features(markov, Ratio([rows[i][1] for i in others], y[others]), vocabulary)
+            parts.append(f.matrix([rows[i] for i in mine]))
+            order.append(mine)
+    whole = Features(markov, Ratio([r[1] for r in rows], y), vocabulary)
+    return Model(whole, _fit(np.concatenate(parts), y[np.concatenate(order)], RIDGE))
+
+
 def train(sample: list[tuple[str, str, str, str]], markov: Markov) -> Model:
-    """Fits on four fifths of the weakly labelled rows and calibrates on the rest."""
-    labelled = [(r, y) for r in sample if (y := weak_label(*r[:3])) is not None]
-    if len({y for _, y in labelled}) < 2:  # nothing to learn from: the labels' own signs
-        weights = np.zeros(len(FEATURES))
-        for name, v in {"bias": -4, "known": 8, "userinfo": 6, "block": 10, "login": 6, "scheme": 5, "secret_odd": 3, "strong": 2, "stand_in": -9, "hashlike": -9, "plain": -5}.items():
-            weights[FEATURES.index(name)] = v
-        return Model(markov, weights, 1.0, 0.0)
-    x = np.array([features(*r, markov) for r, _ in labelled])
-    y = np.array([float(v) for _, v in labelled])
-    held = np.arange(len(y)) % 5 == 0
-    if len(y) < 50 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.ones(len(y), dtype=bool)
-        w = _fit(x, y, RIDGE)
-    else:
-        w = _fit(x[~held], y[~held], RIDGE)
-    z = x[held] @ w
-    slope, shift = _fit(np.stack([z, np.ones(len(z))], axis=1), y[held], 1e-3)
-    return Model(markov, w, float(slope), float(shift))
+    """Fits on the weakly labelled rows, and calibrates on the scores that models of the other folds give to each fold."""
+    labelled = sorted({r: y for r in sample if (y := weak_label(*r[:3])) is not None}.items())
+    rows, y = [r for r, _ in labelled], np.array([float(v) for _, v in labelled])
+    if not 0 < y.sum() < len(y):
+        return Model(None)
+    # A value is in one fold only; folds take turns within each class, in the order of hashes.
+    rank = {v: i for label in (0, 1) for i, v in enumerate(sorted({r[1] for r, k in labelled if k == label}, key=lambda v: (xxhash.xxh64_intdigest(v), v)))}
+    values = np.array([rank[r[1]] for r in rows])
+    often = Counter(w for r in rows for w in {*words_of(r[2]), *(["(env)"] if r[2].startswith("env ") else [])})
+    vocabulary = {w: i for i, (w, _) in enumerate(sorted(often.items(), key=lambda t: (-t[1], t[0]))[:VOCABULARY])}
+    model = _learn(rows, y, values, markov, vocabulary)
+    folds = min(FOLDS, *(len({r[1] for r, k in labelled if k == label}) for label in (0, 1)))
+    if folds > 1:
+        z = np.empty(len(y))
+        for fold in range(folds):
+            held = values % folds == fold
+            use = np.flatnonzero(~held)
+            part = _learn([rows[i] for i in use], y[use], values[use] // folds, markov, vocabulary)
+            z[held] = part.raw([rows[i] for i in np.flatnonzero(held)])
+        model.slope, model.shift = (float(v) for v in _fit(np.stack([z, np.ones(len(z))], axis=1), y, 1e-3, alike=False))
+    return model
 
 
 # --- over a table
 
-_SEEN = "pair int, n bigint, id string, line_no int, kind string, value string, label string, path string, h bigint"
+_SEEN = "pair int, n bigint, id string, line_no int, kind string, sealed binary, path string, size int, rare boolean, h bigint"
+_RARE = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|login")
 
 
-def _extract(batches):
-    counts = np.zeros(_N * _N, dtype=np.int64)
-    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64()), ("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("label", pa.string()), ("path", pa.string()), ("h", pa.int64())])
-    for batch in batches:
-        rows = []
-        for i, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if not text:
-                continue
-            count_pairs(text, counts)
-            line, seen = 1, 0
-            for a, _, kind, value, label in candidates(text):
-                line += text.count("\n", seen, a)
-                seen = a
-                rows.append((None, None, i, line, kind, value, label, path or "", None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, schema.types)], schema=schema)
-    some = np.flatnonzero(counts)
-    none = [None] * len(some)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64()), *[pa.array(none, t) for t in schema.types[2:]]], schema=schema)
-
-
-def learn(chunks: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The model, and the table of all candidates."""
-    seen = stage_table(chunks.select("id", "file_path", "content").mapInArrow(_extract, _SEEN), "candidates")
+def seal(text: str, key: bytes) -> bytes:
+    """``text`` under ``key``; equal texts stay equal."""
+    raw = text.encode("utf-8", "surrogatepass")
+    tag = hashlib.blake2b(raw, key=key, digest_size=16).digest()
+    stream = hashlib.shake_256(key + tag).digest(len(raw))
+    return tag + (int.from_bytes(raw, "big") ^ int.from_bytes(stream, "big")).to_bytes(len(raw), "big")
+
+
+def unseal(sealed: bytes, key: bytes) -> str:
+    n = len(sealed) - 16
+    stream = hashlib.shake_256(key + sealed[:16]).digest(n)
+    return (int.from_bytes(sealed[16:], "big") ^ int.from_bytes(stream, "big")).to_bytes(n, "big").decode("utf-8", "surrogatepass")
+
+
+def _opened(sealed: bytes, key: bytes) -> tuple[str, str]:
+    label, _, value = unseal(sealed, key).partition("\0")
+    return value, label
+
+
+def _extract(key: bytes):
+    def run(batches):
+        counts = np.zeros(_N * _N, dtype=np.int64)
+        schema = pa.schema([("pair", pa.int32()), ("n", pa.int64()), ("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("sealed", pa.binary()), ("path", pa.string()), ("size", pa.int32()), ("rare", pa.bool_()), ("h", pa.int64())])
+        for batch in batches:
+            rows = []
+            for i, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if not text:
+                    continue
+                count_pairs(text, counts)
+                line, seen = 1, 0
+                for a, _, kind, value, label in candidates(text):
+                    line += text.count("\n", seen, a)
+                    seen, label = a, label.replace("\0", " ")
+                    rare = kind in ("block", "userinfo", "login", "scheme", "param", "said") or bool(_RARE.search(label))
+                    h = xxhash.xxh64_intdigest(f"{kind}\0{label}\0{path}\0{value}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                    rows.append((None, None, i, line, kind, seal(f"{label}\0{value}", key), path or "", len(value) + len(label), rare, h))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+        some = np.flatnonzero(counts)
+        none = [None] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64()), *[pa.array(none, t) for t in schema.types[2:]]], schema=schema)
+
+    return run
+
+
+def learn(chunks: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame, bytes]:
+    """The model, the table of all candidates, and the key that it is sealed with."""
+    key = os.urandom(32)
+    seen = stage_table(chunks.select("id", "file_path", "content").mapInArrow(_extract(key), _SEEN), "candidates")
     counts = np.zeros(_N * _N, dtype=np.int64)
     for pair, n in seen.where("pair is not null").groupBy("pair").agg(F.sum("n")).collect():  # at most 97 x 97 rows
         counts[pair] = n
-    found = seen.where("pair is null").select("id", "line_no", "kind", "value", "label", "path")
-    # Two samples, of candidates beside a secret's word or place and of the others, by hash: at most ``sample`` rows.
-    rare = F.col("kind").isin("block", "userinfo", "login", "scheme", "param", "said") | F.lower("label").rlike("pass|pwd|secret|token|key|auth|cred|works|rotate|login")
-    picked = found.where(F.length("value") + F.length("label") <= TRAINED).select("kind", "value", "label", "path").distinct()
+    found = seen.where("pair is null")
+    # Of candidates beside a secret's word or place, and of the others, the first by hash: at most ``sample`` rows.
+    picked = found.where(F.col("size") <= TRAINED).select("rare", "h", "kind", "sealed", "path").distinct()
+    drawn = picked.withColumn("nth", F.row_number().over(Window.partitionBy("rare").orderBy("h"))).where(F.col("nth") <= sample // 2)
     rows = []
-    for side in (picked.where(rare), picked.where(~rare)):
-        rows += [tuple(r)[:4] for r in side.withColumn("h", F.xxhash64("kind", "value", "label", "path")).orderBy("h").limit(sample // 2).collect()]
-    markov = Markov(counts)
-    return train(sorted(rows, key=lambda r: (r[1][::-1], r)), markov), found
+    for r in drawn.select("kind", "sealed", "path").collect():
+        value, label = _opened(bytes(r["sealed"]), key)
+        rows.append((r["kind"], value, label, r["path"]))
+    return train(rows, Markov(counts)), found.select("id", "line_no", "kind", "sealed", "path"), key
 
 
 def find(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(id, line_no, kind, score) of every value that scores at least ``threshold``."""
-    model, found = learn(chunks, sample)
+    model, found, key = learn(chunks, sample)
 
     def judge(batches):
-        for pdf in batches:
-            score = model.score(list(zip(pdf["kind"], pdf["value"], pdf["label"], pdf["path"])))
-            yield pd.DataFrame({"id": pdf["id"], "line_no": pdf["line_no"], "kind": pdf["kind"], "score": score})[score >= threshold]
+        for batch in batches:
+            kinds, sealed, paths = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            opened = [_opened(s, key) for s in sealed]
+            score = model.score([(k, v, w, p) for k, (v, w), p in zip(kinds, opened, paths)])
+            some = pa.array(score >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), batch.column(2).filter(some), pa.array(score).filter(some)], ["id", "line_no", "kind", "score"])
+
+    return found.mapInArrow(judge, "id string, line_no int, kind string, score double")
+
 
-    return found.mapInPandas(judge, "id string, line_no int, kind string, score double")
+MASK = "x"  # stands in quotes, in addresses and as a plain word of any language or of YAML
 
 
 def mask(text: str, path: str, model: Model, threshold: float) -> str:
-    """``text`` with the characters of found values replaced by asterisks; line ends, quotes and length stay."""
+    """``text`` with the characters of found values replaced by ``MASK``; line ends, quotes and length stay."""
     found = candidates(text)
     score = model.score([(k, v, w, path) for _, _, k, v, w in found])
     out = list(text)
@@ -458,13 +545,13 @@ def mask(text: str, path: str, model: Model, threshold: float) -> str:
             for lo, hi in spans:
                 for i in range(lo, hi):
                     if out[i] not in "\r\n":
-                        out[i] = "*"
+                        out[i] = MASK
     return "".join(out)
 
 
 def redact(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, start_line, content, n_masked): every row, its found values masked."""
-    model, _ = learn(chunks, sample)
+    """(id, start_line, content, changed): every row, its found values masked."""
+    model, _, _ = learn(chunks, sample)
 
     def run(batches):
         for pdf in batches:
