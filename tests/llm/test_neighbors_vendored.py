@@ -110,7 +110,7 @@ def test_forks_are_one_family(spark):
     df = spark.createDataFrame(forks + [("/ws/other/a.js", "file", release(rng), "file")], "file_path string, chunk_type string, content string, source_kind string")
     rel = spark.createDataFrame([], "release_id bigint, content string")
     assert vendored.not_hand_written(df, rel).count() == 0
-    assert vendored.not_hand_written(df.union(spark.createDataFrame([(f"/ws/far{i}/b.js", "file", text, "file") for i in range(2)], df.schema)), rel).count() == 7
+    assert vendored.not_hand_written(df.union(spark.createDataFrame([(f"/ws/far{i}/{n}.js", "file", t, "file") for i in range(2) for n, t in (("b", text), ("own", release(rng, 90)))], df.schema)), rel).count() == 7
 
 
 def test_winnowing_guarantee():
