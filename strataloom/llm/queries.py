@@ -29,6 +29,10 @@ def p3_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.rates(syntax.judge_files(table(spark, root, "chunks")))
 
 
+def p3_grammars(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.grammars(syntax.judge_files(table(spark, root, "chunks")))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return split.split_oversized(table(spark, root, "chunks")).select("id").distinct()
 
@@ -65,7 +69,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p3_grammars": p3_grammars, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_files": p6_files, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     "p4_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 4000",
