@@ -8,8 +8,10 @@ it is tabled when first met. Code repeats its contexts, so after a short while a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 _PART = re.compile(r"'([^']+)'|([A-Za-z_][A-Za-z_0-9]*)|([|()\[\]{}])|\s+|(.)")
+AHEAD = 8  # tokens that are read before the automaton sees them: a wrong grammar mostly ends a text early
 MAX_SETS = 150_000
 
 
@@ -153,7 +155,7 @@ class Grammar:
         at["\n"] = got
         return got
 
-    def accepts(self, tokens: list[str], start: str) -> bool:
+    def accepts(self, tokens: Iterable[str], start: str) -> bool:
         """Whether the tokens form ``start``; with a soft end, "\\n" stands for a line break, and "}" and the end may end a statement too."""
         if len(self.sets) > MAX_SETS:
             self._restart()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from strataloom.llm.pushdown import Grammar
+from strataloom.llm.pushdown import AHEAD, Grammar
 
 # The language's keywords.
 KEYWORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
@@ -64,13 +65,17 @@ value: expr | literal
 _GRAMMAR = Grammar(GRAMMAR, ("file", "unit"))
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> Iterator[str]:
     out: list[str] = []
     at, n = 0, len(text)
     while at < n:
+        if len(out) > AHEAD:  # the last one is looked back at
+            yield from out[:-1]
+            del out[:-1]
         m = _TOKEN.match(text, at)
         if m is None:
-            return [*out, "?"]
+            yield from [*out, "?"]
+            return
         kind = m.lastgroup
         if kind == "id":
             out.append(_WORDS.get(m.group(), "ID"))
@@ -85,7 +90,7 @@ def tokens(text: str) -> list[str]:
         at = m.end()
     if out and out[-1] in _CLOSES:
         out.append(";")
-    return out
+    yield from out
 
 
 def valid(text: str, chunk_type: str) -> bool:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from strataloom.llm.pushdown import Grammar
+from strataloom.llm.pushdown import AHEAD, Grammar
 
 # Strict keywords.
 KEYWORDS = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while".split()
@@ -87,13 +88,17 @@ _ANY = " | ".join(["ID", "NUM", "STR", "CHAR", "LIFE", "'_'"] + [f"'{w}'" for w
 _GRAMMAR = Grammar(GRAMMAR.replace("ANY", _ANY), ("file", "unit"))
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> Iterator[str]:
     out: list[str] = []
     at, n = 0, len(text)
     while at < n:
+        if len(out) > AHEAD:  # the last one is looked back at
+            yield from out[:-1]
+            del out[:-1]
         m = _TOKEN.match(text, at)
         if m is None:
-            return [*out, "?"]
+            yield from [*out, "?"]
+            return
         kind, at = m.lastgroup, m.end()
         if kind == "hash":
             kind = "str"
@@ -104,12 +109,13 @@ def tokens(text: str) -> list[str]:
             while depth:
                 c = _COMMENT.search(text, at)
                 if c is None:
-                    return [*out, "?"]
+                    yield from [*out, "?"]
+                    return
                 depth += 1 if c.group() == "/*" else -1
                 at = c.end()
             continue
         out.append(_WORDS.get(m.group(), "ID") if kind == "id" else m.group() if kind == "op" else kind.upper())
-    return out
+    yield from out
 
 
 def valid(text: str, chunk_type: str) -> bool:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from strataloom.llm.pushdown import Grammar
+from strataloom.llm.pushdown import AHEAD, Grammar
 
 # Words with a meaning of their own; the second group may also be names.
 RESERVED = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
@@ -30,13 +31,16 @@ _TEXT = re.compile(r"[^<{}>]*")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
 
 
-def tokens(text: str, jsx: bool = False) -> list[str]:
+def tokens(text: str, jsx: bool = False) -> Iterator[str]:
     """Token classes of a text; "?" where nothing matches. Template and JSX braces are told from blocks by a stack."""
     out: list[str] = []
     stack: list = []  # "{": a block's brace; "`": a template's; a list: of a JSX element, its open names
     heads: list[bool] = []  # of open parentheses: whether a statement's head, after which an expression begins
     at, n, prev = 0, len(text), ""
     while at < n:
+        if len(out) > AHEAD:  # the last one is looked back at
+            yield from out[:-1]
+            del out[:-1]
         m = _TOKEN.match(text, at)
         c = text[at]
         if c == "/" and (m is None or m.lastgroup == "op") and prev not in _ENDS:
@@ -46,7 +50,8 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
                 prev, at = "REGEX", m2.end()
                 continue
         if m is None:
-            return [*out, "?"]
+            yield from [*out, "?"]
+            return
         kind, at2 = m.lastgroup, m.end()
         if kind == "ws" or kind == "lc" or kind == "shebang":
             at = at2
@@ -76,12 +81,14 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
                 stack.append("{")
             elif t == "}":
                 if not stack:
-                    return [*out, "?"]
+                    yield from [*out, "?"]
+                    return
                 top = stack.pop()
                 if top == "`":
                     m = _REST.match(text, at2)
                     if m is None:
-                        return [*out, "?"]
+                        yield from [*out, "?"]
+                        return
                     at2 = m.end()
                     t = "TPLTAIL" if text[at2 - 1] == "`" else "TPLMID"
                     if t == "TPLMID":
@@ -90,7 +97,8 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
                     out.append("}")
                     at2 = _element(text, at2, top[0], out, stack, top[1])
                     if at2 < 0:
-                        return [*out, "?"]
+                        yield from [*out, "?"]
+                        return
                     prev, at = out[-1], at2
                     continue
             elif t == "<" and jsx and prev not in _ENDS and not _GENERIC.match(text, at):
@@ -99,14 +107,15 @@ def tokens(text: str, jsx: bool = False) -> list[str]:
                     out.append("JSX")
                     at2 = _element(text, at, [], out, stack, "tag")
                     if at2 < 0:
-                        return [*out, "?"]
+                        yield from [*out, "?"]
+                        return
                     prev, at = out[-1], at2
                     continue
         out.append(t)
         if t == "(":
             heads.append(prev in ("if", "while", "for", "with"))
         prev, at = "" if t == ")" and heads and heads.pop() else t, at2
-    return out if not stack else [*out, "?"]
+    yield from out if not stack else [*out, "?"]
 
 
 def _element(text: str, at: int, names: list, out: list, stack: list, where: str) -> int:
