@@ -1,4 +1,4 @@
-"""python -m strataloom index|search|context|status|health|clean ROOT [QUERY]; the index lies in ROOT/.strataloom."""
+"""python -m strataloom index|search|context|watch|status|health|doctor|clean ROOT [QUERY]; the index lies in ROOT/.strataloom."""
 
 from __future__ import annotations
 
@@ -9,14 +9,15 @@ import shutil
 
 from pyspark.sql import SparkSession
 
-from strataloom import index
+from strataloom import index, service
 from strataloom.operators.embed import hashed_words
 from strataloom.session import ship
+from strataloom.streaming.watch import watch
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="strataloom", description=__doc__)
-    p.add_argument("command", choices=["index", "search", "context", "status", "health", "clean"])
+    p.add_argument("command", choices=["index", "search", "context", "watch", "status", "health", "doctor", "clean"])
     p.add_argument("root")
     p.add_argument("query", nargs="?", default="")
     p.add_argument("--force", action="store_true")
@@ -34,9 +35,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "index":
         out = index.build_index(spark, a.root, at, force=a.force, verify=a.verify, history=a.history)
     elif a.command == "search":
-        out = [r.asDict() for r in index.find(spark, at, a.query, hashed_words(64), a.limit).select("id", "name", "similarity").collect()]
+        print(service.format_hits(service.search(spark, a.root, a.query, hashed_words(64), a.limit)))
+        return
     elif a.command == "context":
-        out = index.build_context(spark, at, a.query, hashed_words(64), a.max_tokens)
+        out = service.build_context(spark, a.root, a.query, hashed_words(64), a.max_tokens)
+    elif a.command == "watch":
+        watch(spark, a.root, lambda: index.build_index(spark, a.root, at, history=a.history))
+        return
     elif a.command == "status":
         out = index.status(spark, at, a.root)
     else:

@@ -1,14 +1,17 @@
 """Building, updating and querying an index of a source tree.
 
-An index is a folder of snapshots (chunks, edges, manifest, state), written whole and made current by one atomic rename of
-a pointer file. A run diffs the tree with the manifest, reads only files whose size, time, hash or count calls for it,
-re-chunks new and changed ones, carries the rest over, and commits. A run that fails leaves the current snapshot as it is.
+Chunks, edges and manifest rows lie in ``BUCKETS`` folders by a hash of their path. A run lists the tree, diffs it with the
+manifest, opens only files whose size, time, hash or count calls for it, and writes only the buckets of new, changed and
+removed files anew; the state names the folder of each bucket and becomes current by one atomic rename. A run without a change
+writes nothing. A run that fails leaves the current state as it is. Folders that neither the current state nor the ``KEEP``
+before it name are removed.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import threading
 import time
 import uuid
@@ -22,11 +25,15 @@ from strataloom.functions import display, ranking
 from strataloom.functions import text as X
 from strataloom.functions.vector import non_zero
 from strataloom.operators import context, embed, expand, incremental, search
+from strataloom.session import stage_table
 from strataloom.sources import commits, files
 
 _LOCK = threading.Lock()
-# Directories that are never indexed as a root.
-FORBIDDEN = ("/", "/etc", "/usr", "/bin", "/sbin", "/boot", "/dev", "/proc", "/sys", "/lib", "/var", "/root/.ssh")
+# Directories that are never indexed, with what lies below; the last five are of the user's home.
+FORBIDDEN = ("/etc", "/var", "~", "~/.ssh", "~/.aws", "~/.gnupg", "~/.config")
+ALLOWED = "/var/folders"  # fixed value: temporary folders of one operating system
+BUCKETS, KEEP = 64, 1
+TABLES = {"chunks": "file_path", "edges": "from_file", "manifest": "path"}
 
 
 class NoIndexError(LookupError):
@@ -34,11 +41,14 @@ class NoIndexError(LookupError):
 
 
 def check_root(path: str) -> str:
-    """The absolute path; ValueError for the file system's root, a home directory or a system directory and what lies below."""
-    p = os.path.realpath(path)
-    if p in ("/", os.path.realpath(os.path.expanduser("~"))) or any(p == d or p.startswith(d + "/") for d in FORBIDDEN if d != "/"):
-        raise ValueError(f"{p} can't be indexed")
-    return p
+    """The absolute path; ValueError for the file system's root, the home directory itself, or a sensitive directory and what lies below."""
+    for p in (os.path.abspath(path), os.path.realpath(path)):
+        if p == "/" or p == os.path.expanduser("~"):
+            raise ValueError(f"{p} can't be indexed")
+        below = lambda d: p == d or p.startswith(d + "/")  # noqa: E731, B023
+        if not below(ALLOWED) and any(below(os.path.expanduser(d)) for d in FORBIDDEN if d != "~"):
+            raise ValueError(f"{p} can't be indexed")
+    return os.path.realpath(path)
 
 
 def _state_path(index: str) -> str:
@@ -51,7 +61,7 @@ def read_state(index: str) -> dict:
         with open(_state_path(index), encoding="utf-8") as f:
             s = json.load(f)
         s.setdefault("totalTokens", 0)
-        if s["version"] != 1 or not all(k in s for k in ("snapshot", "embeddingModel", "dimension", "indexedAt", "fileCount", "chunkCount")):
+        if s["version"] != 1 or not all(k in s for k in ("buckets", "embeddingModel", "dimension", "indexedAt", "fileCount", "chunkCount")):
             raise ValueError("incomplete state")
         return s
     except (OSError, ValueError, KeyError, TypeError) as e:
@@ -89,58 +99,123 @@ class _Busy:
         os.remove(self.path)
 
 
+def _bucket(name: str):
+    """Bucket of a row, by its path; rows of the history, which have none, by their id."""
+    path = F.col(TABLES[name])
+    return F.pmod(F.xxhash64(F.when(path == "", F.col("id")).otherwise(path) if name == "chunks" else path), F.lit(BUCKETS)).cast("int")
+
+
+def _folder(index: str, run: str, name: str, bucket: str | int) -> str:
+    return os.path.join(index, "data", run, name, f"bucket={bucket}")
+
+
+def _read(spark: SparkSession, index: str, state: dict, name: str, only: set[str] | None = None) -> DataFrame:
+    schema = {"chunks": schemas.CHUNKS, "edges": schemas.EDGES, "manifest": schemas.MANIFEST}[name]
+    folders = [_folder(index, run, name, b) for b, run in state["buckets"][name].items() if only is None or b in only]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(*folders)
+    return df.withColumn("source_kind", F.coalesce("source_kind", F.lit("file"))) if name == "chunks" else df
+
+
 def load(spark: SparkSession, index: str, name: str) -> DataFrame:
-    """A table of the current snapshot; a missing ``source_kind`` column reads as ``file``."""
-    df = spark.read.parquet(os.path.join(index, read_state(index)["snapshot"], name))
-    return df if name != "chunks" or "source_kind" in df.columns else df.withColumn("source_kind", F.lit("file"))
+    """A current table; a missing ``source_kind`` reads as ``file``."""
+    return _read(spark, index, read_state(index), name)
+
 
+def _complete(spark: SparkSession, index: str, state: dict) -> bool:
+    """Whether the chunks have the column ``file_type``; an index from before it is built anew."""
+    folders = [_folder(index, run, "chunks", b) for b, run in state["buckets"]["chunks"].items()]
+    return not folders or "file_type" in spark.read.parquet(folders[0]).columns
 
-def build_index(spark: SparkSession, root: str, index: str, embedder: embed.Embedder | None = None, model: str = "hashed-words", dim: int = 64, force: bool = False, verify: bool = False, ignore: list[str] | None = None, history: bool = False) -> dict:
-    """Brings the index of ``root`` up to date and gives the new state, with counts of new, changed and removed files."""
+
+def _write(df: DataFrame, index: str, run: str, name: str) -> set[str]:
+    """Writes rows below the run's folder, by bucket; gives the buckets that have any."""
+    at = os.path.join(index, "data", run, name)
+    df.withColumn("bucket", _bucket(name)).repartition("bucket").write.partitionBy("bucket").parquet(at)
+    return {d.partition("=")[2] for d in os.listdir(at) if d.startswith("bucket=")}
+
+
+def _prune(index: str, state: dict) -> None:
+    """Removes folders of buckets that no kept state names."""
+    maps = [state["buckets"], *state["previous"]]
+    named = {(run, name, b) for m in maps for name, at in m.items() for b, run in at.items()}
+    data = os.path.join(index, "data")
+    for run in os.listdir(data):
+        for name in os.listdir(os.path.join(data, run)):
+            for d in os.listdir(os.path.join(data, run, name)):
+                if d.startswith("bucket=") and (run, name, d.partition("=")[2]) not in named:
+                    shutil.rmtree(os.path.join(data, run, name, d), ignore_errors=True)
+        if not any(r == run for r, _, _ in named):
+            shutil.rmtree(os.path.join(data, run), ignore_errors=True)
+
+
+def build_index(spark: SparkSession, root: str, index: str, embedder: embed.Embedder | None = None, model: str = "hashed-words", dim: int = 64, force: bool = False, verify: bool = False, ignore: list[str] | None = None, history: bool = False, embed_seconds: float | None = embed.TIMEOUT_SECONDS) -> dict:
+    """Brings the index of ``root`` up to date and gives the new state, with counts of new, changed, removed, unchanged files and skipped chunks."""
     root = check_root(root)
+    if not os.path.isdir(root):
+        raise ValueError(f"{root} is no directory")
     with _LOCK, _Busy(index):
         try:
             old = None if force else read_state(index)
-            if old and (old["embeddingModel"], old["dimension"]) != (model, dim):
+            if old and ((old["embeddingModel"], old["dimension"]) != (model, dim) or not _complete(spark, index, old)):
                 old = None
         except NoIndexError:
             old = None
-        stored = load(spark, index, "manifest") if old else spark.createDataFrame([], schemas.MANIFEST)
-        listed = files.list_files(spark, root, ignore).select("path", "size", "mtime_ms").cache()
-        try:
-            stat = incremental.stat_partition(listed, stored)
-            reading = stat.where(incremental.needs_read(verify)).select("path")
-            contents = files.read_files(spark, root, reading, ignore).cache()
-            sums = incremental.carry_forward(listed.select("path"), stored, contents, "sha256").join(incremental.carry_forward(listed.select("path"), stored, contents, "token_count"), "path")
-            manifest = listed.join(sums, "path").select("path", "sha256", "token_count", "size", "mtime_ms")
-            d = incremental.diff(manifest, stored).cache()
-            fresh = contents.join(incremental.to_process(d), "path", "left_semi")
-            chunks = files.chunk_table(fresh).withColumn("tokens", X.word_count(F.col("content")))
-            made = embed.embed_rows(chunks, "content", embedder or embed.hashed_words(dim), "tokens").drop("tokens").select(*[f.name for f in schemas.CHUNKS])
-            edges = files.edge_table(fresh)
-            if history:
-                log = embed.embed_rows(commits.history_rows(commits.read_git_log(spark, root)), "content", embedder or embed.hashed_words(dim))
-                made = made.unionByName(log.select(*made.columns))
-            if old:
-                gone = incremental.to_delete(d)
-                kept = load(spark, index, "chunks")
-                kept = kept.where("source_kind <> 'history'") if history else kept
-                made = incremental.delete_paths(kept, gone, "file_path").unionByName(made)
-                edges = incremental.delete_paths(load(spark, index, "edges"), gone, "from_file").unionByName(edges)
-            snapshot = f"snapshot-{int(time.time())}-{uuid.uuid4().hex[:8]}"
-            at = os.path.join(index, snapshot)
-            for name, df in (("chunks", made), ("edges", edges), ("manifest", manifest)):
-                df.write.parquet(os.path.join(at, name))
-            counts = {r["status"]: r["count"] for r in d.groupBy("status").count().collect()}
-            totals = spark.read.parquet(os.path.join(at, "manifest")).agg(F.count("*").alias("n"), F.sum(F.coalesce("token_count", F.lit(0))).alias("t")).first()
-            state = {"version": 1, "snapshot": snapshot, "embeddingModel": model, "dimension": dim, "indexedAt": datetime.now(timezone.utc).isoformat(), "fileCount": totals["n"], "chunkCount": spark.read.parquet(os.path.join(at, "chunks")).count(), "totalTokens": totals["t"] or 0}
-            tmp = _state_path(index) + ".tmp"
-            with open(tmp, "w", encoding="utf-8") as f:
-                json.dump(state, f, indent=2)
-            os.replace(tmp, _state_path(index))
-            return state | {k: counts.get(k, 0) for k in ("new", "changed", "removed", "unchanged")}
-        finally:
-            listed.unpersist()
+        before = old or {"buckets": {name: {} for name in TABLES}, "previous": []}
+        stored = _read(spark, index, before, "manifest")
+        listed = stage_table(files.list_files(spark, root, ignore).select("path", "size", "mtime_ms"), "listed")
+        stat = incremental.stat_partition(listed, stored)
+        contents = stage_table(files.read_files(spark, root, stat.where(incremental.needs_read(verify)).select("path")), "contents")
+        sums = incremental.carry_forward(listed.select("path"), stored, contents, "sha256").join(incremental.carry_forward(listed.select("path"), stored, contents, "token_count"), "path")
+        manifest = stage_table(listed.join(sums, "path").where("sha256 is not null").select("path", "sha256", "token_count", "size", "mtime_ms"), "manifest")
+        d = stage_table(incremental.diff(manifest, stored), "diff")
+        counts = {k: 0 for k in ("new", "changed", "removed", "unchanged")} | {r["status"]: r["count"] for r in d.groupBy("status").count().collect()}
+        # Buckets to write anew: of the tables' files that changed, and of the manifest's rows that did.
+        moved = manifest.exceptAll(stored.select(*manifest.columns)).select("path").union(d.where("status = 'removed'").select("path"))
+        stale = {"manifest": _touched(moved, "manifest"), "chunks": _touched(d.where("status <> 'unchanged'").select(F.col("path").alias("file_path"), F.lit("").alias("id")), "chunks")}
+        stale["edges"] = stale["chunks"]
+        past = None
+        if history:
+            log = commits.history_rows(commits.read_git_log(spark, root))
+            have = _read(spark, index, before, "chunks").where("source_kind = 'history'").select("id")
+            past = stage_table(log.join(have, "id", "left_anti"), "history")
+            gone_past = have.join(log.select("id"), "id", "left_anti")
+            touched = past.select("id").union(gone_past).select("id", F.lit("").alias("file_path"))
+            stale["chunks"] = stale["chunks"] | _touched(touched, "chunks")
+        if old and not any(stale.values()):
+            return old | counts | {"skipped": 0}
+        fresh = contents.join(incremental.to_process(d), "path", "left_semi")
+        cut = stage_table(files.chunk_table(fresh).withColumn("tokens", X.word_count(F.col("content"))), "chunks")
+        use = embed.within(embedder or embed.hashed_words(dim), embed_seconds) if embed_seconds else embedder or embed.hashed_words(dim)
+        names = [f.name for f in schemas.CHUNKS]
+        made = embed.embed_rows(cut, "content", use, "tokens").select(*names)
+        kept = incremental.delete_paths(_read(spark, index, before, "chunks", stale["chunks"]), incremental.to_delete(d), "file_path").select(*names)
+        if past is not None:
+            kept = kept.join(gone_past, "id", "left_anti").select(*names)
+            made = made.unionByName(embed.embed_rows(past, "content", use).select(*names))
+        edges = files.edge_table(fresh).unionByName(incremental.delete_paths(_read(spark, index, before, "edges", stale["edges"]), incremental.to_delete(d), "from_file"))
+        run = f"run-{int(time.time())}-{uuid.uuid4().hex[:8]}"
+        buckets = {}
+        for name, df in (("chunks", kept.unionByName(made)), ("edges", edges), ("manifest", manifest.where(_bucket("manifest").isin([int(b) for b in stale["manifest"]])))):
+            written = _write(df, index, run, name)
+            buckets[name] = {b: r for b, r in before["buckets"][name].items() if b not in stale[name]} | {b: run for b in written}
+        state = {"version": 1, "buckets": buckets, "previous": ([before["buckets"]] + before["previous"])[:KEEP], "embeddingModel": model, "dimension": dim, "indexedAt": datetime.now(timezone.utc).isoformat()}
+        totals = _read(spark, index, state, "manifest").agg(F.count("*").alias("n"), F.sum(F.coalesce("token_count", F.lit(0))).alias("t")).first()
+        state |= {"fileCount": totals["n"], "chunkCount": _read(spark, index, state, "chunks").count(), "totalTokens": totals["t"] or 0}
+        offered = cut.count() + (past.count() if past is not None else 0)
+        skipped = offered + kept.count() - _read(spark, index, {"buckets": {"chunks": {b: run for b in buckets["chunks"] if buckets["chunks"][b] == run}}}, "chunks").count()
+        tmp = _state_path(index) + ".tmp"
+        with open(tmp, "w", encoding="utf-8") as f:
+            json.dump(state, f, indent=2)
+        os.replace(tmp, _state_path(index))
+        _prune(index, state)
+        return state | counts | {"skipped": skipped}
+
+
+def _touched(rows: DataFrame, name: str) -> set[str]:
+    """Buckets of ``rows``: at most ``BUCKETS``."""
+    return {str(r[0]) for r in rows.select(_bucket(name)).distinct().collect()}
 
 
 def _mode(spark: SparkSession, query: str) -> str:
@@ -166,7 +241,7 @@ def build_context(spark: SparkSession, index: str, query: str, embedder: embed.E
     found = find(spark, index, query, embedder, limit, threshold).select("id", "file_path", "name", "content", "start_line", "end_line", "source_kind", "similarity", "rank")
     tasks = ["embed_query", "vector_search", "dedup", "token_budget"]
     if _mode(spark, query) == "trace":
-        more = expand.expand_edges(found.select("id", "rank"), load(spark, index, "edges").withColumn("edge_id", F.monotonically_increasing_id()), chunks)
+        more = expand.expand_edges(found.select("id", "rank"), load(spark, index, "edges").withColumn("edge_id", F.col("edge_no")), chunks)
         added = more.join(chunks.drop("file_path", "name", "vector"), "id").select("id", "file_path", "name", "content", "start_line", "end_line", "source_kind", "similarity", (F.lit(1000) + F.col("seed_rank") * 10 + F.col("edge_nth")).alias("rank"))
         found = search.dedup_first(found.unionByName(added), "id", "rank")
         tasks.append("edge_expansion")

@@ -16,7 +16,7 @@ CHUNKS = _fields(
 )
 EDGES = _fields(
     ("from_chunk_id", _S, False), ("from_file", _S, False), ("from_symbol", _S, True), ("to_symbol", _S, False),
-    ("to_file", _S, True), ("edge_type", _S, False),
+    ("to_file", _S, True), ("edge_type", _S, False), ("edge_no", _I, False),
 )
 MANIFEST = _fields(("path", _S, False), ("sha256", _S, True), ("token_count", _I, True), ("size", _L, True), ("mtime_ms", _D, True))
 INDEX_STATE = _fields(
