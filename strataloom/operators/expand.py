@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.ranking import EDGE_SIMILARITY
 
+SALTS = 16
+
 
 def expand_edges(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, per_seed: int = 5) -> DataFrame:
     """Chunks called by ``seeds(id, rank)``: the first ``per_seed`` call edges with a target file of each seed, by edge_id.
@@ -29,10 +31,13 @@ def expand_edges(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, per_seed
 
 
 def resolve_edges(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Extension: gives call edges without a target file the one file of the repository that declares the symbol, if it is one only."""
+    """Extension: gives call edges without a target file the one file of the repository that declares the symbol, if it is one only.
+
+    A symbol that very many edges name is met by salt."""
     repo = F.regexp_extract("file_path", "^/ws/([^/]*)/", 1)
     one = chunks.where(F.col("name").isNotNull() & (F.col("source_kind") == "file")).groupBy(repo.alias("__repo"), F.col("name").alias("__name"))
     one = one.agg(F.min("file_path").alias("__a"), F.max("file_path").alias("__b")).where("__a = __b")
-    e = edges.withColumn("__repo", F.regexp_extract("from_file", "^/ws/([^/]*)/", 1))
-    hit = e.join(one, (e["__repo"] == one["__repo"]) & (e.to_symbol == one["__name"]) & e.to_file.isNull() & (e.edge_type == "call"), "left")
+    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    e = edges.withColumn("__repo", F.regexp_extract("from_file", "^/ws/([^/]*)/", 1)).withColumn("__at", F.pmod(F.xxhash64("from_chunk_id", "from_file"), F.lit(SALTS)).cast("int"))
+    hit = e.join(one, (e["__repo"] == one["__repo"]) & (e.to_symbol == one["__name"]) & (e["__at"] == one["__salt"]) & e.to_file.isNull() & (e.edge_type == "call"), "left")
     return hit.select(*[F.coalesce(edges[c], F.col("__a")).alias(c) if c == "to_file" else edges[c] for c in edges.columns])

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,24 +26,67 @@ def vector_topk(rows: DataFrame, vector: str, query: list[float], k: int, id_col
     return rows.withColumn("dist", cosine_distance(F.col(vector), q)).where(F.col("dist").isNotNull()).orderBy("dist", id_col).limit(k)
 
 
-def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """Top k of ``rows(id, vec)`` for every row of ``queries(qid, qvec)``, a stated set of queries.
+TILE = 1 << 22  # cosines that a task holds at a time
 
-    Queries are broadcast in blocks of at most about ``block``, by hash, however many there are. ``row_number <= k`` is limited
-    within each task before the exchange, so a task sends k rows a query, however many rows it compares. No queries give no rows.
+
+def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """(qid, id, dist, rank): top k of ``rows(id, vec)`` for every row of ``queries(qid, qvec)``, a stated set of queries.
+
+    Queries go to the tasks as a matrix, in blocks of at most about ``block`` by hash, however many there are; each task multiplies its rows
+    with it and sends k rows a query, however many rows it compares. Vectors that are null, zero, not finite or of another length than
+    the query have no distance. No queries give no rows.
     """
     n = max(1, -(-queries.count() // block))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, dist double"
     w = Window.partitionBy("qid").orderBy("dist", "id")
 
     def best(some: DataFrame) -> DataFrame:
-        pairs = rows.join(F.broadcast(some), F.lit(True)).withColumn("dist", cosine_distance(F.col("vec"), F.col("qvec"))).where("dist is not null")
-        return pairs.select("qid", "id", "dist").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        asked = some.select("qid", "qvec").where("qvec is not null").collect()  # one block
+        near = rows.select("id", "vec").mapInPandas(_nearest([r["qid"] for r in asked], [list(r["qvec"]) for r in asked], k), kinds)
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     if n == 1:
         return best(queries)
     return reduce(DataFrame.unionByName, [best(queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
 
 
+def _units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of those that are finite, not zero, and of length ``dim``."""
+    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
+    m = np.array([vectors[i] for i in at], dtype=np.float64).reshape(len(at), dim)
+    size = np.sqrt(np.einsum("ij,ij->i", m, m))
+    good = np.isfinite(size) & (size > 0)
+    return np.array(at, dtype=np.int64)[good], m[good] / size[good][:, None]
+
+
+def _nearest(qids: list, vectors: list, k: int):
+    """The k nearest rows of a task for each query, ties by smaller id."""
+    by_dim = {d: _units(vectors, d) for d in {len(v) for v in vectors} if d}
+
+    def cut(found: list) -> pd.DataFrame:
+        return pd.concat(found).sort_values(["q", "dist", "id"], kind="stable").groupby("q", sort=False).head(k)
+
+    def run(batches):
+        kept: list = []
+        for pdf in batches:
+            given, ids = [None if v is None else v for v in pdf["vec"]], pdf["id"].to_numpy()
+            for dim, (asked, unit) in by_dim.items():
+                at, mine = _units(given, dim)
+                step = max(1, TILE // max(1, len(at)))
+                for lo in range(0, len(asked) if len(at) else 0, step):
+                    dist = np.round(1 - unit[lo : lo + step] @ mine.T, 12) + 0.0
+                    bar = np.partition(dist, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                    q, r = np.nonzero(dist <= bar[:, None])
+                    kept.append(pd.DataFrame({"q": asked[lo + q], "id": ids[at[r]], "dist": dist[q, r]}))
+            if sum(map(len, kept)) > 4 * k * len(qids) + 100_000:
+                kept = [cut(kept)]
+        if kept:
+            out = cut(kept)
+            yield pd.DataFrame({"qid": [qids[i] for i in out["q"]], "id": out["id"], "dist": out["dist"]})
+
+    return run
+
+
 def after_limit(hits: DataFrame, threshold: float, vector: str | None = None) -> DataFrame:
     """Distance threshold and zero-vector guard, applied after the limit, so fewer than k rows may remain; adds similarity."""
     out = hits.where(F.col("dist") <= threshold)

@@ -111,10 +111,20 @@ def paragraph_chunks(spark, root):
     return out.select("doc_id", "chunk_no", "start_line", "n_lines", F.md5("para").alias("digest"))
 
 
-@query("""SELECT short_hash, author, date, trim(regexp_replace(message, '^\\s+|\\s+$', '', 'g')) AS message, len(files) AS n_files, coalesce(list_sum(list_transform(files, lambda f: coalesce(f.insertions, 0))), 0)::BIGINT AS added, coalesce(list_sum(list_transform(files, lambda f: coalesce(f.deletions, 0))), 0)::BIGINT AS removed
-FROM (SELECT DISTINCT short_hash, author, coalesce(date, '') AS date, message, files FROM commits) WHERE NOT contains(message, chr(9))""")
+_FIELDS = "string_split(x, chr(9))"
+_COUNT = lambda i: rf"list_transform(extra, lambda x: coalesce(try_cast(nullif(regexp_extract({_FIELDS}[{i}], '^\s*([+-]?\d+)', 1), '') AS BIGINT), 0))"
+
+
+@query(rf"""WITH c AS (SELECT DISTINCT short_hash, author, coalesce(date, '') AS date, coalesce(message, '') AS m, coalesce(files, []) AS files FROM commits),
+t AS (SELECT *, string_split(m, chr(10)) AS l, coalesce(list_position(list_transform(string_split(m, chr(10)), lambda x: contains(x, chr(9))), true), 0) AS i FROM c),
+e AS (SELECT *, CASE WHEN i = 0 THEN m ELSE coalesce(array_to_string(l[1:i - 1], chr(10)), '') END AS said,
+  list_filter(CASE WHEN i = 0 THEN []::VARCHAR[] ELSE l[i:] END, lambda x: len({_FIELDS}) >= 3 AND trim(array_to_string({_FIELDS}[3:], chr(9))) <> '') AS extra FROM t)
+SELECT short_hash, author, date, trim(regexp_replace(said, '^\s+|\s+$', '', 'g')) AS message, (len(files) + len(extra))::BIGINT AS n_files,
+  (coalesce(list_sum(list_transform(files, lambda f: coalesce(f.insertions, 0))), 0) + coalesce(list_sum({_COUNT(1)}), 0))::BIGINT AS added,
+  (coalesce(list_sum(list_transform(files, lambda f: coalesce(f.deletions, 0))), 0) + coalesce(list_sum({_COUNT(2)}), 0))::BIGINT AS removed FROM e""")
 def git_log_parse(spark, root):
-    c = table(spark, root, "commits").where(~F.col("message").contains("\t")).select("short_hash", "author", F.coalesce("date", F.lit("")).alias("date"), "message", "files").distinct()
+    """Every commit; a message ends before its first line with a tab, and what follows is read as counts."""
+    c = table(spark, root, "commits").select("short_hash", "author", F.coalesce("date", F.lit("")).alias("date"), "message", "files").distinct()
     p = G.parse_log(c.select(G.log_text(c).alias("log")), "log", normalize=False)
     total = lambda f: F.coalesce(F.aggregate("files", F.lit(0).cast("bigint"), lambda a, x: a + x[f]), F.lit(0).cast("bigint"))
     return p.select("short_hash", "author", "date", "message", F.size("files").cast("bigint").alias("n_files"), total("insertions").alias("added"), total("deletions").alias("removed"))

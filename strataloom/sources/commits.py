@@ -51,9 +51,10 @@ def history_rows(commits: DataFrame) -> DataFrame:
 
 
 def read_git_log(spark: SparkSession, root: str, most: int = 500, timeout: float = 120) -> DataFrame:
-    """Commits of a working tree, by ``git log``; raises RuntimeError with its message if that fails."""
+    """The last ``most`` commits of a working tree, by ``git log``, a row each; raises RuntimeError with its message if that fails."""
     form = f"{MARK}%h{SEP}%an{SEP}%aI%n%B".replace(SEP, "%x1e")
-    got = subprocess.run(["git", "log", f"--format={form}", "--numstat", "-n", str(most), "--"], cwd=root, capture_output=True, text=True, timeout=timeout)
+    got = subprocess.run(["git", "log", f"--format={form}", "--numstat", "-n", str(most), "--"], cwd=root, capture_output=True, text=True, errors="replace", timeout=timeout)
     if got.returncode:
         raise RuntimeError(f"git log failed: {got.stderr.strip()[:500]}")
-    return parse_log(spark.createDataFrame([(got.stdout,)], "log string"), "log")
+    records = [(MARK + r,) for r in got.stdout.split(MARK) if r.strip()]
+    return parse_log(spark.createDataFrame(records, "log string").repartition(min(len(records) // 50 + 1, 64)), "log")

@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PART_SECONDS = 86_400  # of a key's time that one task orders
+
+
 def sessionize(rows: DataFrame, key: str, ts: str, gap_seconds: int, *tie: str) -> DataFrame:
     """Numbers the sessions of each key from 1; a new one starts if the pause is longer than the limit (equal stays).
 
     Rows without a time are left out; a null key is a key of its own. The order within one time is by ``tie``.
+    A key's rows are ordered a day at a time, so that a key of any size is spread; the days' first and last times and counts are
+    then put in order, and each day's numbers are moved on by the sessions before it.
     """
-    w = Window.partitionBy(key).orderBy(ts, *tie)
-    micros = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
-    start = F.when(micros.isNull() | (micros > gap_seconds * 1_000_000), 1).otherwise(0)
-    return rows.where(F.col(ts).isNotNull()).withColumn("__start", start).withColumn("session_no", F.sum("__start").over(w)).drop("__start")
+    limit, at = gap_seconds * 1_000_000, F.unix_micros(F.col(ts))
+    part = rows.where(F.col(ts).isNotNull()).withColumn("__part", F.floor(at / (PART_SECONDS * 1_000_000)))
+    w = Window.partitionBy(key, "__part").orderBy(ts, *tie)
+    local = part.withColumn("__start", F.coalesce((at - F.lag(at).over(w) > limit).cast("int"), F.lit(0))).withColumn("__n", F.sum("__start").over(w))
+    parts = local.groupBy(F.col(key).alias("__key"), "__part").agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.sum("__start").alias("__starts"))
+    order = Window.partitionBy("__key").orderBy("__part")
+    begins = F.coalesce((F.col("__first") - F.lag("__last").over(order) > limit).cast("int"), F.lit(1))
+    moved = parts.withColumn("__begins", begins).select("__key", "__part", (F.sum("__begins").over(order) + F.sum("__starts").over(order) - F.col("__starts")).alias("__before"))
+    return local.join(moved.withColumnRenamed("__part", "__p"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p"))).withColumn("session_no", F.col("__n") + F.col("__before")).select(*rows.columns, "session_no")
 
 
 def session_totals(rows: DataFrame, key: str, ts: str, gap_seconds: int, sent: str, estimated: str, *tie: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Watching a source tree: listings are compared, a burst of changes is awaited, then the index is updated.
+"""Watching a source tree: digests of its listing are compared, a burst of changes is awaited, then the index is updated.
 
 A file source of Structured Streaming sees neither edits nor removals, hence listings. The pause is trailing: every change
 within it starts it anew. A run that meets another's lock is skipped, and not repeated before the next change.
@@ -38,9 +38,14 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return diff(after, before).where("status <> 'unchanged'").select("path", "status")
 
 
-def watch(spark: SparkSession, root: str, reindex: Callable[[], dict], say: Callable[[str], None] = print, every: float = 1.0, quiet: float = QUIET_SECONDS, rounds: int | None = None, listing: Callable[[], list] | None = None) -> int:
+def digest(spark: SparkSession, root: str) -> tuple:
+    """One row on the whole listing: it differs when a file is added, removed or changed."""
+    return tuple(stamps(spark, root).agg(F.count("*"), F.sum(F.xxhash64("path", "sha256").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("sha256", "path"))).first())
+
+
+def watch(spark: SparkSession, root: str, reindex: Callable[[], dict], say: Callable[[str], None] = print, every: float = 1.0, quiet: float = QUIET_SECONDS, rounds: int | None = None, listing: Callable[[], object] | None = None) -> int:
     """Polls until interrupted (or for ``rounds`` listings) and calls ``reindex`` after each burst; gives the number of runs."""
-    take = listing or (lambda: sorted((r["path"], r["sha256"]) for r in stamps(spark, root).toLocalIterator()))
+    take = listing or (lambda: digest(spark, root))
     seen, runs, n = take(), 0, 0
     changed_at = None
     while rounds is None or n < rounds:

@@ -22,7 +22,7 @@ def tables(spark, edges, blocks=16):
     return e, c, m, n
 
 
-@pytest.fixture(params=["broadcast", "joined"], autouse=True)
+@pytest.fixture(params=["broadcast", "joined"])
 def filter_form(request, monkeypatch):
     if request.param == "joined":
         monkeypatch.setattr(O, "BROADCAST_BLOCKS", 0)
@@ -32,7 +32,7 @@ def found(spark, edges):
     return {(r["edge_id"], r["ref_field"]) for r in orphan_references(*tables(spark, edges), blocks=16).collect()}
 
 
-def test_each_field(spark):
+def test_each_field(spark, filter_form):
     a, f = "/ws/r/src/a.ts:0", "/ws/r/src/a.ts"
     edges = [
         (1, a, f, None, "f", None, "call"),  # all holds
@@ -55,13 +55,13 @@ def test_each_field(spark):
     assert found(spark, edges) == {(2, "from_chunk_id"), (7, "to_file"), (8, "to_file"), (9, "to_symbol"), (11, "to_symbol"), (13, "to_symbol")}
 
 
-def test_small_filter_gives_the_same(spark):
+def test_small_filter_gives_the_same(spark, filter_form):
     edges = [(i, f"/ws/r/x{i}:1", "/ws/r/src/a.ts", None, "f", None, "call") for i in range(300)]
     got = {(r["edge_id"]) for r in orphan_references(*tables(spark, edges), blocks=1).collect()}
     assert got == set(range(300))
 
 
-def test_a_filter_of_its_keys_passes_few_others(spark):
+def test_a_filter_of_its_keys_passes_few_others(spark, filter_form):
     keys = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("k"))
     n = O.blocks_for(200_000)
     filt = O.bloom(keys, n)
@@ -70,7 +70,7 @@ def test_a_filter_of_its_keys_passes_few_others(spark):
     assert O.maybe_held(absent, filt, n).where("maybe").count() < 0.02 * 200_000
 
 
-def test_empty_tables_and_report(spark):
+def test_empty_tables_and_report(spark, filter_form):
     e, c, m, n = tables(spark, [(1, "x", "/ws/r/a.ts", None, "f", "/p", "call")])
     assert orphan_references(e.limit(0), c, m, n).count() == 0
     assert {r["ref_field"] for r in orphan_references(e, c.limit(0), m.limit(0), n.limit(0)).collect()} == {"from_chunk_id", "to_file"}
@@ -90,6 +90,14 @@ def test_sessions_reset_after_the_limit(spark):
     assert [(r["tokens_sent"], r["calls"]) for r in out] == [(100, 2), (50, 1), (50, 1)]
 
 
+def test_sessions_over_days_and_of_a_null_key(spark):
+    day = 86_400
+    times = [0, 50, day - 10, day + 10, day + 500, 3 * day, 3 * day + 5]
+    rows = [(key, T0 + dt.timedelta(seconds=s), 1, 1, i) for key in ("u", None) for i, s in enumerate(times)] + [("u", None, 1, 1, 99)]
+    got = K.sessionize(spark.createDataFrame(rows, CALLS), "session_id", "called_at", 100, "call_id").orderBy("session_id", "call_id").collect()
+    assert [r["session_no"] for r in got] == [1, 1, 2, 2, 3, 4, 4] * 2
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     rows = stamp(0, 50, 400, 420, 4000)
     spark.createDataFrame(rows, CALLS).coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -125,3 +125,23 @@ def test_batched_topk_in_blocks(spark):
     got = lambda block: sorted((r["qid"], r["rank"], r["id"]) for r in S.vector_topk_batch(rows, queries, 4, block).collect())
     assert got(1000) == got(5) and len(got(5)) == 48
     assert S.vector_topk_batch(rows, queries.limit(0), 4).count() == 0
+
+
+def test_batched_topk_equals_brute_force(spark):
+    import random
+
+    from strataloom.operators import search as S
+
+    rng = random.Random(9)
+    rows = [(f"r{i:03d}", [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [("zero", [0.0] * 4), ("short", [1.0, 2.0]), ("none", None), ("hole", [1.0, None, 1.0, 1.0])]
+    queries = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(30)] + [(90, [0.0] * 4), (91, [1.0, 2.0]), (92, None)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = set()
+    for q, u in queries:
+        if u and norm(u):
+            near = sorted((round(1 - sum(a * b for a, b in zip(u, v)) / (norm(u) * norm(v)), 12) + 0.0, i) for i, v in rows if v and len(v) == len(u) and None not in v and norm(v))
+            want |= {(q, i, r) for r, (_, i) in enumerate(near[:7], 1)}
+    df, qs = spark.createDataFrame(rows, "id string, vec array<double>").repartition(3), spark.createDataFrame(queries, "qid int, qvec array<double>")
+    for block in (8192, 8):
+        assert {(r["qid"], r["id"], r["rank"]) for r in S.vector_topk_batch(df, qs, 7, block).collect()} == want
+    assert S.vector_topk_batch(df, qs.limit(0), 7).count() == S.vector_topk_batch(df.limit(0), qs, 7).count() == 0
