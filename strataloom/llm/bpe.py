@@ -221,3 +221,15 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.count(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "n_tokens"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens int")
+
+
+def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, decoded) of every row of ``ids(doc_id, ids)``."""
+    where = vocabulary_path(path=path)
+
+    def run(batches):
+        a = automaton(where)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded string")
