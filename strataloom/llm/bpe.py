@@ -15,11 +15,13 @@ from __future__ import annotations
 import importlib
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_WORDS, MAX_STATES = 400_000, 200_000
 
@@ -29,6 +31,20 @@ def vocabulary_path(name: str = "byte_bpe_50k.json", path: str | None = None) ->
     return path or os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends the vocabulary along with the job, unless the master is local; the returned function gives its place on a worker."""
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+        return lambda: path
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def place() -> str:
+        near = SparkFiles.get(name)
+        return near if os.path.exists(near) else path
+
+    return place
+
+
 def _pattern() -> str:
     try:
         return importlib.import_module("public_tokenizers").PATTERN
@@ -197,10 +213,10 @@ def automaton(path: str) -> Automaton:
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row; no shuffle, one pass."""
-    where = vocabulary_path(path=path)
+    place = shipped(documents.sparkSession, vocabulary_path(path=path))
 
     def run(batches):
-        a = automaton(where)
+        a = automaton(place())
         for batch in batches:
             lists = [a.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.zeros(len(lists) + 1, dtype=np.int32)
@@ -213,10 +229,10 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row; no shuffle, one pass."""
-    where = vocabulary_path(path=path)
+    place = shipped(documents.sparkSession, vocabulary_path(path=path))
 
     def run(batches):
-        a = automaton(where)
+        a = automaton(place())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.count(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "n_tokens"])
 
@@ -225,10 +241,10 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded) of every row of ``ids(doc_id, ids)``."""
-    where = vocabulary_path(path=path)
+    place = shipped(ids.sparkSession, vocabulary_path(path=path))
 
     def run(batches):
-        a = automaton(where)
+        a = automaton(place())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
 

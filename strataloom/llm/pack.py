@@ -4,7 +4,7 @@ Patterns of up to three lengths that fill a container exactly are enumerated; ho
 histogram of lengths by non-negative least squares and rounded; what remains is packed by best fit, decreasing, with many
 equal containers at a time. All of that works on the histogram, whose size is the capacity, never on the documents. The
 documents then find their places by their rank among those of their length: ranks are built from counts by (length, salt),
-so a length that a third of all documents have is ranked in many tasks.
+so a length that a third of all documents have is ranked in many tasks, the more the more documents there are.
 
 A text over the capacity fills whole containers of its own, and its rest is an item like others; no other is split.
 Defined results: null and empty texts come out with 0 tokens and no container; repeated texts are placed each.
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from strataloom.llm.bpe import count_tokens
 from strataloom.session import stage_table
 
-SALTS = 64
+SALTS = 64, 1024  # least and most parts of the documents of a length; in between one for each PART documents
+PART = 100_000
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -128,10 +129,12 @@ def places(containers: list[tuple[tuple[int, ...], int]], first: int) -> dict[in
 def pack_documents(documents: DataFrame, capacity: int = 1024, path: str | None = None) -> DataFrame:
     """(doc_id, piece, n_tokens, container_id): one row a document, more if it alone exceeds ``capacity``."""
     spark = documents.sparkSession
-    sized = stage_table(count_tokens(documents, path).withColumn("rest", F.pmod("n_tokens", F.lit(capacity))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sizes")
+    sizes = stage_table(count_tokens(documents, path), "sizes")
+    salts = min(SALTS[1], max(SALTS[0], sizes.count() // PART))
+    sized = sizes.withColumn("rest", F.pmod("n_tokens", F.lit(capacity))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     whole = sized.where(F.col("n_tokens") >= capacity).withColumn("full", (F.col("n_tokens") / capacity).cast("int"))
-    # At most capacity x SALTS rows reach the driver.
-    counted = np.zeros((capacity + 1, SALTS), dtype=np.int64)
+    # At most capacity x salts rows reach the driver.
+    counted = np.zeros((capacity + 1, salts), dtype=np.int64)
     for rest, salt, n in sized.where("rest > 0").groupBy("rest", "salt").count().collect():
         counted[rest, salt] = n
     containers = plan(counted.sum(axis=1))
@@ -156,7 +159,7 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, path: str | None
     # Containers of texts that fill them alone are numbered by the text's rank within its salt, salts interleaved.
     per_salt = {r["salt"]: r["n"] for r in whole.groupBy("salt").agg(F.sum("full").alias("n")).collect()}
     base, run = [], made
-    for s in range(SALTS):
+    for s in range(salts):
         base.append(run)
         run += int(per_salt.get(s, 0))
     before = F.sum("full").over(Window.partitionBy("salt").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")
