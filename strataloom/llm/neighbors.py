@@ -27,6 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,9 +246,12 @@ class Layout:
                 held, came = held + int(homes[c]), came + int(visits[c])
         self.slices = np.maximum(1, -(-np.array([*visited, min(came, total), 0]) // visitors))
 
-    def home(self, cluster: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Block of each class."""
-        return self.first[cluster] + cls % self.parts[cluster]
+    def home(self, cluster: np.ndarray, vectors: list[bytes]) -> np.ndarray:
+        """Block of each class; of a large cluster, the part goes by the vector's hash."""
+        out = self.first[cluster]
+        for i in np.flatnonzero(self.parts[cluster] > 1):
+            out[i] += xxhash.xxh64_intdigest(vectors[i]) % int(self.parts[cluster[i]])
+        return out
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -271,10 +275,9 @@ def _tally(centers: np.ndarray, probes: int, dim: int):
 def _assign(layout: Layout, probes: int, dim: int):
     def run(batches):
         for batch in batches:
-            cls = batch.column(0).to_numpy()
             near = nearest_centers(_units(_matrix(batch.column(1), dim)), layout.centers, probes)
             asked = pa.array([row.tobytes() for row in near], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(layout.home(near[:, 0], cls), pa.int64()), batch.column(0), batch.column(1), asked], ["block", "cls", "mat", "probes"])
+            yield pa.RecordBatch.from_arrays([pa.array(layout.home(near[:, 0], batch.column(1).to_pylist()), pa.int64()), batch.column(0), batch.column(1), asked], ["block", "cls", "mat", "probes"])
 
     return run
 
@@ -356,7 +359,8 @@ def _layout(classes: DataFrame, dim: int, probes: int | None, clusters: int | No
     """Clusters fitted on a bounded sample, and the blocks for the counted classes; at most ``CLUSTERS`` rows of counts reach the driver."""
     n = classes.count()
     share = max(1, -(-n // SAMPLE))
-    drawn = classes.where(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).select("vec").limit(SAMPLE).toArrow()
+    # Drawn and ordered by hash, so that equal data give equal clusters in every run.
+    drawn = classes.select("vec", F.xxhash64("vec").alias("h")).where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "vec").limit(SAMPLE).select("vec").toArrow()
     units = _units(_matrix(drawn.column("vec"), dim)) if drawn.num_rows else np.eye(1, dim)
     k = min(len(units), CLUSTERS, max(1, clusters or int(math.sqrt(n) / 7)))
     centers = fit_centers(units, k)
