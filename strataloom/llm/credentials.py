@@ -29,7 +29,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from strataloom.session import stage_table
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 0.02
+SALTS = 8
 BLOB = 100  # characters from which a value beside no word of secrets is labelled as data
 FOLDS, VOCABULARY = 3, 200  # of the calibration; words beside values that have a weight
 # Characters of a value beyond which it isn't trained on, so that the driver's sample stays bounded; it is judged whole all the same.
@@ -445,7 +445,7 @@ def train(sample: list[tuple[str, str, str, str]], markov: Markov) -> Model:
 
 # --- over a table
 
-_SEEN = "pair int, n bigint, id string, line_no int, kind string, sealed binary, path string, size int, rare boolean, h bigint"
+_SEEN = "pair int, n bigint, id string, line_no int, kind string, sealed binary, path string, size int, rare boolean, h bigint, k1 bigint, k2 bigint, spans array<int>"
 _RARE = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|login")
 
 
@@ -471,20 +471,21 @@ def _opened(sealed: bytes, key: bytes) -> tuple[str, str]:
 def _extract(key: bytes):
     def run(batches):
         counts = np.zeros(_N * _N, dtype=np.int64)
-        schema = pa.schema([("pair", pa.int32()), ("n", pa.int64()), ("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("sealed", pa.binary()), ("path", pa.string()), ("size", pa.int32()), ("rare", pa.bool_()), ("h", pa.int64())])
+        schema = pa.schema([("pair", pa.int32()), ("n", pa.int64()), ("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("sealed", pa.binary()), ("path", pa.string()), ("size", pa.int32()), ("rare", pa.bool_()), ("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("spans", pa.list_(pa.int32()))])
         for batch in batches:
             rows = []
-            for i, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, path, text, k1, k2 in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if not text:
                     continue
                 count_pairs(text, counts)
                 line, seen = 1, 0
-                for a, _, kind, value, label in candidates(text):
+                for a, b, kind, value, label in candidates(text):
                     line += text.count("\n", seen, a)
+                    spans = [at for span in spans_of(text, a, b, kind) for at in span]
                     seen, label = a, label.replace("\0", " ")
                     rare = kind in ("block", "userinfo", "login", "scheme", "param", "said") or bool(_RARE.search(label))
                     h = xxhash.xxh64_intdigest(f"{kind}\0{label}\0{path}\0{value}".encode("utf-8", "surrogatepass")) - (1 << 63)
-                    rows.append((None, None, i, line, kind, seal(f"{label}\0{value}", key), path or "", len(value) + len(label), rare, h))
+                    rows.append((None, None, i, line, kind, seal(f"{label}\0{value}", key), path or "", len(value) + len(label), rare, h, k1, k2, spans))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
         some = np.flatnonzero(counts)
         none = [None] * len(some)
@@ -496,7 +497,7 @@ def _extract(key: bytes):
 def learn(chunks: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame, bytes]:
     """The model, the table of all candidates, and the key that it is sealed with."""
     key = os.urandom(32)
-    seen = stage_table(chunks.select("id", "file_path", "content").mapInArrow(_extract(key), _SEEN), "candidates")
+    seen = stage_table(chunks.select("id", "file_path", "content", *_content_key()).mapInArrow(_extract(key), _SEEN), "candidates")
     counts = np.zeros(_N * _N, dtype=np.int64)
     for pair, n in seen.where("pair is not null").groupBy("pair").agg(F.sum("n")).collect():  # at most 97 x 97 rows
         counts[pair] = n
@@ -508,54 +509,74 @@ def learn(chunks: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame, by
     for r in drawn.select("kind", "sealed", "path").collect():
         value, label = _opened(bytes(r["sealed"]), key)
         rows.append((r["kind"], value, label, r["path"]))
-    return train(rows, Markov(counts)), found.select("id", "line_no", "kind", "sealed", "path"), key
+    return train(rows, Markov(counts)), found, key
 
 
-def find(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, line_no, kind, score) of every value that scores at least ``threshold``."""
-    model, found, key = learn(chunks, sample)
+def _scored(model: Model, found: DataFrame, key: bytes, threshold: float, keep: str) -> DataFrame:
+    """Rows of candidates that score at least ``threshold``, with ``score``; ``keep`` is the schema of the columns that stay."""
+    names = [c.split()[0] for c in keep.split(", ")]
 
     def judge(batches):
         for batch in batches:
-            kinds, sealed, paths = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            opened = [_opened(s, key) for s in sealed]
+            kinds, sealed, paths = (batch.column(i).to_pylist() for i in range(3))
+            opened = [_opened(x, key) for x in sealed]
             score = model.score([(k, v, w, p) for k, (v, w), p in zip(kinds, opened, paths)])
             some = pa.array(score >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), batch.column(2).filter(some), pa.array(score).filter(some)], ["id", "line_no", "kind", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(3 + i).filter(some) for i in range(len(names))), pa.array(score).filter(some)], [*names, "score"])
 
-    return found.mapInArrow(judge, "id string, line_no int, kind string, score double")
+    columns = [F.col("kind").alias("__kind"), F.col("sealed").alias("__sealed"), F.col("path").alias("__path"), *names]
+    return found.select(*columns).mapInArrow(judge, f"{keep}, score double")
+
+
+def find(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, line_no, kind, score) of every value that scores at least ``threshold``."""
+    model, found, key = learn(chunks, sample)
+    return _scored(model, found, key, threshold, "id string, line_no int, kind string")
 
 
 MASK = "x"  # stands in quotes, in addresses and as a plain word of any language or of YAML
 
 
+def spans_of(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+    """What of a candidate is masked: of a key its base64, of quoted parts put together what is in the quotes."""
+    if kind == "block":
+        return _key(text, _BEGIN.match(text, a))[2]
+    if kind == "joined":
+        return [(a + m.start() + 1, a + m.end() - 1) for m in _STRING.finditer(text[a:b])]
+    return [(a, b)]
+
+
 def mask(text: str, path: str, model: Model, threshold: float) -> str:
     """``text`` with the characters of found values replaced by ``MASK``; line ends, quotes and length stay."""
     found = candidates(text)
     score = model.score([(k, v, w, path) for _, _, k, v, w in found])
     out = list(text)
-    for (a, b, kind, _, _), s in zip(found, score):
-        if s >= threshold:
-            if kind == "block":  # keep the frame lines, and what stands around the base64
-                spans = _key(text, _BEGIN.match(text, a))[2]
-            elif kind == "joined":
-                spans = [(a + m.start() + 1, a + m.end() - 1) for m in _STRING.finditer(text[a:b])]
-            else:
-                spans = [(a, b)]
-            for lo, hi in spans:
-                for i in range(lo, hi):
-                    if out[i] not in "\r\n":
-                        out[i] = MASK
+    for (a, b, kind, _, _), p in zip(found, score):
+        for lo, hi in spans_of(text, a, b, kind) if p >= threshold else []:
+            for i in range(lo, hi):
+                if out[i] not in "\r\n":
+                    out[i] = MASK
     return "".join(out)
 
 
-def redact(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, start_line, content, changed): every row, its found values masked."""
-    model, _, _ = learn(chunks, sample)
+def _content_key() -> list:
+    """Two hashes of a content, by which its found spans come back to it; equal contents of different paths are told apart."""
+    return [F.xxhash64("content", F.coalesce("file_path", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), "file_path", "content").alias("k2")]
 
-    def run(batches):
-        for pdf in batches:
-            clean = [mask(t, p or "", model, threshold) if t else t for t, p in zip(pdf["content"], pdf["file_path"])]
-            yield pd.DataFrame({"id": pdf["id"], "start_line": pdf["start_line"], "content": clean, "changed": [c != t for c, t in zip(clean, pdf["content"])]})
 
-    return chunks.select("id", "file_path", "start_line", "content").mapInPandas(run, "id string, start_line int, content string, changed boolean")
+def redact(chunks: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, start_line, content, changed): every row, its found values masked.
+
+    Contents are read once for candidates; the spans of found values, few against the rows, are joined back by the content's key, by
+    salt, and masked by built-in expressions.
+    """
+    model, found, key = learn(chunks, sample)
+    spans = _scored(model, found, key, threshold, "k1 bigint, k2 bigint, spans array<int>").select("k1", "k2", F.posexplode("spans").alias("i", "at"), "spans").where("i % 2 = 0")
+    masks = spans.select("k1", "k2", F.struct(F.col("at").alias("a"), F.element_at("spans", F.col("i") + 2).alias("b")).alias("s")).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    masks = masks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = chunks.select("id", "start_line", "content", *_content_key(), F.pmod(F.xxhash64("id", "start_line"), F.lit(SALTS)).cast("int").alias("salt"))
+    cut = lambda text, lo, n: F.substring(text, lo, n)
+    covered = lambda text, s: F.concat(cut(text, F.lit(1), s["a"]), F.regexp_replace(cut(text, s["a"] + 1, s["b"] - s["a"]), "[^\r\n]", MASK), cut(text, s["b"] + 1, F.length(text)))
+    clean = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")), F.col("content"), covered)
+    joined = rows.join(masks, ["k1", "k2", "salt"], "left").withColumn("clean", clean)
+    return joined.select("id", "start_line", F.col("clean").alias("content"), F.coalesce(F.col("clean") != F.col("content"), F.lit(False)).alias("changed"))

@@ -74,7 +74,10 @@ def test_table(spark):
     assert {(f"c{i}", 2) for i in range(len(SECRETS))} <= got and not {i for i, _ in got} & {f"c{len(SECRETS) + i}" for i in range(len(HARMLESS))}
     red = C.redact(df).collect()
     assert len(red) == len(rows) and sorted(len(r["content"] or "") for r in red) == sorted(len(r[2] or "") for r in rows)
-    assert C.find(df.limit(0)).count() == 0
+    model, _, _ = C.learn(df)
+    assert {(r["id"], r["content"]) for r in red} == {(i, C.mask(t, p or "", model, C.THRESHOLD) if t else t) for i, p, t, *_ in rows}
+    assert {r["id"] for r in red if r["changed"]} == {i for i, _ in got}
+    assert C.find(df.limit(0)).count() == C.redact(df.limit(0)).count() == 0
 
 
 FIELDS = ["Dear {{ segment_name }},", "Contact: <%= parser %>", "Welcome to %(query)s, the service.", "Owner: ${HOP_OWNER}", "Ask [[ record ]] about it.", "Maintained by undefined, last review on [object Object].", "Dear [segment goes here],", "Contact [INSERT NAME] for it.", "By __CONFIG_TITLE__ today.", "See @@EDGE@@ now.", "At XX_HOP_XX then.", "Dear {0},", "Hello $[lock], hi", "To <your graph here>,", "For %COMMIT%, thanks."]
