@@ -341,35 +341,33 @@ _PLACES = ("userinfo", "login", "block", "scheme", "param", "joined", "said", "s
 _HEXED = re.compile(r"[0-9a-fA-F-]*\Z")
 
 
-def _shape(kind: str, value: str, path: str, markov: Markov, ratio: Ratio) -> list[float]:
-    n, codes, low = len(value), _codes(value), path.lower()
+def _shape(kind: str, value: str, path: str, codes: np.ndarray, markov: Markov) -> list[float]:
+    n, low = len(value), path.lower()
     unlikely = -markov.mean(codes) - 3.0
     times = np.bincount(codes)
     share = times[times > 0] / max(n, 1)
     return [
         1.0, unlikely, unlikely * min(n, 40) / 20, float(-(share * np.log2(share)).sum()) - 3.0, min(n, 64) / 16 - 1, math.log2(max(n, 64)) - 6, float(times[17:27].sum()) / max(n, 1), float(value.lower() != value != value.upper()), float(not value.isalnum()), float("/" in value), float(value.count(".") > 1),
         float(value.replace("-", "").replace("_", "").replace(".", "").replace("/", "").isalpha()), float(bool(_HEXED.match(value))), len(share) / max(min(n, 30), 1), *(float(kind == k) for k in _PLACES), float("test" in low), float(low.endswith((".md", ".txt", ".rst"))), float(path == ""),
-        *ratio.of(codes),
     ]
 
 
 class Features:
-    """What the regression sees of a candidate: its shape, and which of the frequent words stand beside it."""
+    """What the regression sees of a candidate: its shape, its likelihood ratios, and which of the frequent words stand beside it."""
 
     def __init__(self, markov: Markov, ratio: Ratio, vocabulary: dict[str, int]):
         self.markov, self.ratio, self.vocabulary = markov, ratio, vocabulary
 
     def beside(self, label: str) -> list[int]:
-        return [self.vocabulary[w] for w in {*words_of(label), *(["(env)"] if label.startswith("env ") else [])} if w in self.vocabulary]
+        return [self.vocabulary[w] for w in _beside(label) if w in self.vocabulary]
 
     def shapes(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
-        return np.array([_shape(k, v, p, self.markov, self.ratio) for k, v, _, p in rows])
+        each = [(r, _codes(r[1])) for r in rows]
+        return np.array([[*_shape(k, v, p, c, self.markov), *self.ratio.of(c)] for (k, v, _, p), c in each])
 
-    def matrix(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
-        words = np.zeros((len(rows), len(self.vocabulary)))
-        for i, r in enumerate(rows):
-            words[i, self.beside(r[2])] = 1.0
-        return np.concatenate([self.shapes(rows), words], axis=1)
+
+def _beside(label: str) -> set[str]:
+    return {*words_of(label), *(["(env)"] if label.startswith("env ") else [])}
 
 
 class Model:
@@ -390,33 +388,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.shift, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float, alike: bool = True) -> np.ndarray:
-    """Logistic regression by Newton steps, classes weighted alike or as they come."""
-    w = np.zeros(x.shape[1])
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float, alike: bool = True, start: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by damped Newton steps, classes weighted alike or as they come."""
     each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y) if alike else np.ones(len(y))
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    sign = 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float(each @ np.logaddexp(0.0, -sign * (x @ w)) + 0.5 * ridge * w @ w)
+
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         g = x.T @ (each * (p - y)) + ridge * w
         h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-3:
+        step, size = np.linalg.solve(h, g), 1.0
+        # A whole step may overshoot where the sigmoid is flat: it is halved until the loss falls.
+        while (then := loss(w - size * step)) > now - 1e-4 * size * float(g @ step) and size > 1e-10:
+            size /= 2
+        if then >= now:
+            break
+        w, gained, now = w - size * step, now - then, then
+        if gained < 1e-7 * max(now, 1e-9):
             break
     return w
 
 
-def _learn(rows: list, y: np.ndarray, values: np.ndarray, markov: Markov, vocabulary: dict[str, int]) -> Model:
-    """Fits a model; each half of the values is seen through likelihood ratios of the other half, as unknown values will be."""
+class Labelled:
+    """Labelled rows with what every fold sees alike of them."""
+
+    def __init__(self, rows: list, y: np.ndarray, markov: Markov, vocabulary: dict[str, int]):
+        self.rows, self.y, self.markov, self.vocabulary = rows, y, markov, vocabulary
+        self.codes = [_codes(r[1]) for r in rows]
+        self.shape = np.array([_shape(k, v, p, c, markov) for (k, v, _, p), c in zip(rows, self.codes)])
+        self.words = np.zeros((len(rows), len(vocabulary)))
+        for i, r in enumerate(rows):
+            self.words[i, [vocabulary[w] for w in _beside(r[2]) if w in vocabulary]] = 1.0
+
+    def ratio(self, use: np.ndarray) -> Ratio:
+        return Ratio([self.rows[i][1] for i in use], self.y[use])
+
+    def matrix(self, at: np.ndarray, ratio: Ratio) -> np.ndarray:
+        return np.concatenate([self.shape[at], np.array([ratio.of(self.codes[i]) for i in at]).reshape(len(at), 2), self.words[at]], axis=1)
+
+
+def _learn(data: Labelled, use: np.ndarray, values: np.ndarray, start: np.ndarray | None = None) -> tuple[Ratio, np.ndarray]:
+    """Likelihood ratios and weights of the rows ``use``; each half of the values is seen through ratios of the other half, as unknown values will be."""
     half = values % 2 == 0
-    parts, order = [], []
-    for side in (half, ~half):
-        mine, others = np.flatnonzero(side), np.flatnonzero(~side)
-        if len(mine):
-            f = Features(markov, Ratio([rows[i][1] for i in others], y[others]), vocabulary)
-            parts.append(f.matrix([rows[i] for i in mine]))
-            order.append(mine)
-    whole = Features(markov, Ratio([r[1] for r in rows], y), vocabulary)
-    return Model(whole, _fit(np.concatenate(parts), y[np.concatenate(order)], RIDGE))
+    parts = [(use[mine], data.matrix(use[mine], data.ratio(use[~mine]))) for mine in (half, ~half) if mine.any()]
+    order = np.concatenate([at for at, _ in parts])
+    return data.ratio(use), _fit(np.concatenate([x for _, x in parts]), data.y[order], RIDGE, start=start)
 
 
 def train(sample: list[tuple[str, str, str, str]], markov: Markov) -> Model:
@@ -428,17 +449,19 @@ def train(sample: list[tuple[str, str, str, str]], markov: Markov) -> Model:
     # A value is in one fold only; folds take turns within each class, in the order of hashes.
     rank = {v: i for label in (0, 1) for i, v in enumerate(sorted({r[1] for r, k in labelled if k == label}, key=lambda v: (xxhash.xxh64_intdigest(v), v)))}
     values = np.array([rank[r[1]] for r in rows])
-    often = Counter(w for r in rows for w in {*words_of(r[2]), *(["(env)"] if r[2].startswith("env ") else [])})
+    often = Counter(w for r in rows for w in _beside(r[2]))
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(often.items(), key=lambda t: (-t[1], t[0]))[:VOCABULARY])}
-    model = _learn(rows, y, values, markov, vocabulary)
+    data = Labelled(rows, y, markov, vocabulary)
+    ratio, weights = _learn(data, np.arange(len(y)), values)
+    model = Model(Features(markov, ratio, vocabulary), weights)
     folds = min(FOLDS, *(len({r[1] for r, k in labelled if k == label}) for label in (0, 1)))
     if folds > 1:
         z = np.empty(len(y))
         for fold in range(folds):
-            held = values % folds == fold
-            use = np.flatnonzero(~held)
-            part = _learn([rows[i] for i in use], y[use], values[use] // folds, markov, vocabulary)
-            z[held] = part.raw([rows[i] for i in np.flatnonzero(held)])
+            held = np.flatnonzero(values % folds == fold)
+            use = np.flatnonzero(values % folds != fold)
+            ratio, w = _learn(data, use, values[use] // folds, start=weights)  # the optimum is one, wherever the steps begin
+            z[held] = data.matrix(held, ratio) @ w
         model.slope, model.shift = (float(v) for v in _fit(np.stack([z, np.ones(len(z))], axis=1), y, 1e-3, alike=False))
     return model
 
