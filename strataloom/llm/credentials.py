@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataloom.session import stage_table
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 0.02
-SALTS = 8
+SALTS, SHRINK = 8, 10.0
 BLOB = 100  # characters from which a value beside no word of secrets is labelled as data
 FOLDS, VOCABULARY = 3, 200  # of the calibration; words beside values that have a weight
 # Characters of a value beyond which it isn't trained on, so that the driver's sample stays bounded; it is judged whole all the same.
@@ -276,21 +276,30 @@ class Markov:
 
 
 class Ratio:
-    """Log-ratio of likelihoods under Markov models of labelled credentials and of the others; values have an edge at both ends."""
+    """Log-ratio of likelihoods under Markov models of labelled credentials and of the others (values have an edge at both ends), and the
+    log-odds of the words beside them; and how the two go together."""
 
-    def __init__(self, values: list[str], y: np.ndarray):
+    def __init__(self, values: list[str], labels: list[str], y: np.ndarray):
         m = np.full((2, _N * _N), 0.3)
-        for v, label in zip(values, y):
+        beside = [Counter(), Counter()]
+        for v, w, label in zip(values, labels, y):
             c = np.r_[0, _codes(v), 0]
             np.add.at(m[int(label)], c[:-1] * _N + c[1:], min(1.0, 20 / (len(c) - 1)))  # a long value counts as 20 characters
+            beside[int(label)].update(_beside(w))
         m = m.reshape(2, _N, _N)
         log = np.log(m / m.sum(axis=2, keepdims=True))
         self.log = log[1] - log[0]
+        n = [len(y) - float(y.sum()), float(y.sum())]
+        rate = {w: (beside[0][w] + beside[1][w]) / len(y) for w in beside[0].keys() | beside[1].keys()} if len(y) else {}
+        # Each class's rate of a word is drawn to the common one as if SHRINK more rows had shown that.
+        self.odds = {w: math.log((beside[1][w] + SHRINK * r) / (n[1] + SHRINK)) - math.log((beside[0][w] + SHRINK * r) / (n[0] + SHRINK)) for w, r in rate.items()}
 
-    def of(self, codes: np.ndarray) -> tuple[float, float]:
-        """Mean, and bounded sum."""
+    def of(self, value: str, codes: np.ndarray, label: str) -> list[float]:
         d = self.log[np.r_[0, codes], np.r_[codes, 0]]
-        return float(d.mean()), min(6.0, max(-6.0, float(d.sum()) / 10))
+        mean, total = float(d.mean()), min(6.0, max(-6.0, float(d.sum()) / 10))
+        odds = min(6.0, max(-6.0, sum(self.odds.get(w, 0.0) for w in _beside(label))))
+        kinds = (value.lower() != value.upper()) + bool(_DIGIT.search(value)) + (not value.isalnum()) + (value.lower() != value != value.upper())  # of characters
+        return [mean, total, odds, odds * mean, odds * total / 6, odds * kinds / 4, kinds / 4]
 
 
 # --- features and weak labels
@@ -338,6 +347,7 @@ def weak_label(kind: str, value: str, label: str) -> int | None:
 
 
 _PLACES = ("userinfo", "login", "block", "scheme", "param", "joined", "said", "set", "word")
+_DIGIT = re.compile(r"[0-9]")
 _HEXED = re.compile(r"[0-9a-fA-F-]*\Z")
 
 
@@ -352,6 +362,10 @@ def _shape(kind: str, value: str, path: str, codes: np.ndarray, markov: Markov)
     ]
 
 
+def _beside(label: str) -> set[str]:
+    return {*words_of(label), *(["(env)"] if label.startswith("env ") else [])}
+
+
 class Features:
     """What the regression sees of a candidate: its shape, its likelihood ratios, and which of the frequent words stand beside it."""
 
@@ -363,11 +377,7 @@ class Features:
 
     def shapes(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
         each = [(r, _codes(r[1])) for r in rows]
-        return np.array([[*_shape(k, v, p, c, self.markov), *self.ratio.of(c)] for (k, v, _, p), c in each])
-
-
-def _beside(label: str) -> set[str]:
-    return {*words_of(label), *(["(env)"] if label.startswith("env ") else [])}
+        return np.array([[*_shape(k, v, p, c, self.markov), *self.ratio.of(v, c, w)] for (k, v, w, p), c in each])
 
 
 class Model:
@@ -426,10 +436,10 @@ class Labelled:
             self.words[i, [vocabulary[w] for w in _beside(r[2]) if w in vocabulary]] = 1.0
 
     def ratio(self, use: np.ndarray) -> Ratio:
-        return Ratio([self.rows[i][1] for i in use], self.y[use])
+        return Ratio([self.rows[i][1] for i in use], [self.rows[i][2] for i in use], self.y[use])
 
     def matrix(self, at: np.ndarray, ratio: Ratio) -> np.ndarray:
-        return np.concatenate([self.shape[at], np.array([ratio.of(self.codes[i]) for i in at]).reshape(len(at), 2), self.words[at]], axis=1)
+        return np.concatenate([self.shape[at], np.array([ratio.of(self.rows[i][1], self.codes[i], self.rows[i][2]) for i in at]), self.words[at]], axis=1)
 
 
 def _learn(data: Labelled, use: np.ndarray, values: np.ndarray, start: np.ndarray | None = None) -> tuple[Ratio, np.ndarray]:
